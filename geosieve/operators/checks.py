@@ -105,7 +105,7 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def check_table(spark, rows: list[DataFrame]) -> DataFrame:
+def check_table(rows: list[DataFrame]) -> DataFrame:
     """Union of one-row frames (check, expected, actual) with a verdict column."""
     whole = reduce(lambda a, b: a.unionByName(b), rows)
     return whole.withColumn("ok", F.col("expected").eqNullSafe(F.col("actual")))

@@ -135,14 +135,14 @@ def detection_ap(predictions: DataFrame, truth: DataFrame) -> DataFrame:
         F.struct(F.lit(i).alias("level"), F.col(f"t{i}.pred_id").alias("pred_id"))
         for i in range(len(AP_IOUS))
     ])).alias("h")).select("h.*").filter("pred_id is not null")
-    levels = firsts.groupBy("pred_id").agg(F.sum(F.shiftleft(F.lit(1), F.col("level"))).alias("hit"))
+    levels = firsts.groupBy("pred_id").agg(F.sum(F.expr("shiftleft(1, level)")).alias("hit"))
     flagged = matched.select("pred_id", "confidence").join(levels, "pred_id", "left")
     flagged = flagged.withColumn("hit", F.coalesce("hit", F.lit(0)))
     ranked = rank_rows(flagged, [F.col("confidence").desc(), F.col("pred_id").asc()])
     # From here only the true positives matter: precision peaks at them.
     found = ranked.filter("hit > 0").select(
         "rank", F.explode(F.array(*[F.lit(i) for i in range(len(AP_IOUS))])).alias("level"), "hit"
-    ).filter(F.col("hit").bitwiseAND(F.shiftleft(F.lit(1), F.col("level"))) != 0)
+    ).filter("(hit & shiftleft(1, level)) != 0")
     numbered = rank_rows(
         found.select("level", "rank"), [F.col("rank").asc()], within=["level"], name="tp"
     )

@@ -99,9 +99,9 @@ select event_id as image_no,
   else concat('photo_', event_type, '.jpg') end as filename
 from events
 """,
-    # Training histories: the order's customer is the run, its key the epoch.
+    # Training histories of 40 runs; the order's key is the epoch.
     "history": """
-select concat('run_', cast(o_custkey as varchar(20))) as run, o_orderkey as epoch,
+select concat('run_', cast(o_custkey % 40 as varchar(20))) as run, o_orderkey as epoch,
  cast((o_orderkey*7919) % 1000 as double)/1000e0 as map50, cast((o_orderkey*104729) % 500 as double)/1000e0 as map50_95,
  cast((o_orderkey*31) % 997 as double)/997e0 as prec, cast((o_orderkey*17) % 991 as double)/991e0 as rec
 from orders

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,12 +96,7 @@ def read_tagged(spark: SparkSession, paths: list[str], name: str = "source") ->
     """Several CSVs as one table, columns matched by name, rows tagged by file stem."""
     if not paths:
         raise ValueError("no file given")
-    frames = [
-        read_csv(spark, p).withColumn(
-            name, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-        )
-        for p in paths
-    ]
+    frames = [read_csv(spark, p).withColumn(name, F.lit(PurePath(p).stem)) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -119,17 +115,20 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def read_histories(spark: SparkSession, folder: str) -> DataFrame:
-    """Training histories ``<folder>/<run>/results.csv`` with the run's name."""
+def read_histories(
+    spark: SparkSession, folder: str, glob: str = "*/results.csv", run: str = r"([^/]+)/results\.csv$"
+) -> DataFrame:
+    """Training histories, by default ``<folder>/<run>/results.csv``, with the run's
+    name taken from the path."""
     renamed = {
         "metrics/mAP50(B)": "map50", "metrics/mAP50-95(B)": "map50_95",
         "metrics/precision(B)": "prec", "metrics/recall(B)": "rec",
     }
-    path = f"{folder.rstrip('/')}/*/results.csv"
+    path = f"{folder.rstrip('/')}/{glob}"
     columns = _columns(first_line(spark, path), ",")
     df = _as_text(spark, path, ",", "UTF-8", columns)
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/results\.csv$", 1)
-    df = df.withColumn("run", F.url_decode(run)).withColumnsRenamed(renamed)
+    name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), run, 1))
+    df = df.withColumn("run", name).withColumnsRenamed(renamed)
     numbers = [c for c in df.columns if c != "run"]
     return df.withColumns({
         c: F.trim(F.col(c)).try_cast("long" if c == "epoch" else "double") for c in numbers
