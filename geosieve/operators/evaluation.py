@@ -16,7 +16,7 @@ from geosieve.operators.spread import materialize, materialize_with, rank_rows,
 
 # The confidence thresholds of the published sweep.
 THRESHOLDS = [0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25]
-AP_IOUS = [0.5 + 0.05 * i for i in range(10)]
+AP_IOUS = [(50 + 5 * i) / 100 for i in range(10)]
 
 
 def match_boxes(predictions: DataFrame, truth: DataFrame, unique: str = "pred_id") -> DataFrame:

@@ -184,15 +184,14 @@ def nearest_site(
     placed = _placed(points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()))
     keys = [*labels, *CELL]
     shown = ["site", "lat", "lon"]
-    cells = materialize(_summaries(placed, labels, LEVEL), "cells")
-    most = F.max("m")
-    found, seen = materialize_with(_search_near(cells, spots, labels, shown), "near", most=most)
-    missing, left = materialize_with(
-        cells.join(found.select(*keys).distinct(), keys, "left_anti"), "missing"
-    )
-    if left["rows"]:
-        far = _search_far(missing, spots, labels, shown)
-        found, seen = materialize_with(found.unionByName(far), "near", most=most)
+    cells, all_cells = materialize_with(_summaries(placed, labels, LEVEL), "cells")
+    # A cell with m candidates has m rows, so the sum of 1/m counts cells.
+    facts = {"most": F.max("m"), "settled": F.sum(1.0 / F.col("m"))}
+    found, seen = materialize_with(_search_near(cells, spots, labels, shown), "near", **facts)
+    if round(seen["settled"] or 0.0) < all_cells["rows"]:
+        missing = cells.join(found.select(*keys).distinct(), keys, "left_anti")
+        far = _search_far(materialize(missing, "missing"), spots, labels, shown)
+        found, seen = materialize_with(found.unionByName(far), "near", **facts)
 
     entry = F.struct("site", "lat", "lon")
     parts = []
@@ -201,12 +200,9 @@ def nearest_site(
         crowded = found.filter(F.col("m") > list_max)
         busy = (seen["most"] or 0) > list_max
         lists = found.filter(F.col("m") <= list_max) if busy else found
-        lists, size = materialize_with(
-            lists.groupBy(*keys).agg(F.collect_list(entry).alias("near")), "lists",
-            entries=F.sum(F.size("near")),
-        )
+        lists = lists.groupBy(*keys).agg(F.collect_list(entry).alias("near"))
         keyed = part_points.withColumns(_keys(level))
-        small = (size["entries"] or 0) <= BROADCAST_ROWS
+        small = seen["rows"] <= BROADCAST_ROWS
         parts.append(_pick(keyed, lists, keys, unique, cells, small).drop(*CELL))
         if not busy:
             break
@@ -235,7 +231,7 @@ def nearest_site(
         inherited = inherited.withColumns({a: xyz[a] + SHIFT_M for a in AXES})
         pairs = kids.join(inherited, [*labels, *up]).drop(*up)
         found, seen = materialize_with(
-            _prune(pairs, keys, point_box()).select(*keys, *shown, "m"), "near", most=most
+            _prune(pairs, keys, point_box()).select(*keys, *shown, "m"), "near", **facts
         )
         level = finer
     whole = parts[0].select(*given, "_best")

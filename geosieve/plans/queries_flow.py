@@ -182,7 +182,7 @@ def image_reference_match(t):
 
 
 IMAGE_SITES = "select concat('site_', cast(c_custkey as varchar(20)), '.jpg') as image, case when c_custkey % 3 > 0 then cast(c_custkey as varchar(20)) end as sup_id from customer where c_custkey % 7 > 0"
-OFFSET_SQL = "round(sqrt(power(((p.x1+p.x2)/2e0-512e0)*(100e0/1024e0),2)+power(((p.y1+p.y2)/2e0-512e0)*(100e0/1024e0),2)), 2)"
+OFFSET_SQL = "round_even(sqrt(power(((p.x1+p.x2)/2e0-512e0)*(100e0/1024e0),2)+power(((p.y1+p.y2)/2e0-512e0)*(100e0/1024e0),2)), 2)"
 
 
 @query("detection_compare", f"""
@@ -426,7 +426,7 @@ def threshold_sweep(t):
 @query("detection_ap", f"""
 with {EVAL}, lv as (select unnest(range(10)) as level), pos as (select count(*) as n from u where status = 'visible'),
 r as (select *, row_number() over (order by confidence desc, pred_id) as rk from m),
-h as (select r.rk, r.image, lv.level, row_number() over (partition by lv.level, r.image order by r.rk) as first from r join lv on r.iou >= 0.5 + 0.05*lv.level),
+h as (select r.rk, r.image, lv.level, row_number() over (partition by lv.level, r.image order by r.rk) as first from r join lv on r.iou >= (50 + 5*lv.level)/100e0),
 tp as (select level, rk, row_number() over (partition by level order by rk) as tp from h where first = 1),
 cv as (select level, tp/rk as prec, tp/pos.n as rec, tp, pos.n as n from tp, pos),
 g as (select lv.level, k.k from lv join (select unnest(range(101)) as k) k on true),

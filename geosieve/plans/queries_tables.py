@@ -502,11 +502,11 @@ def validate_latlon(t):
     return t.sql(POINTS).select("event_id", geo.valid_latlon("latitude", "longitude").alias("valid"))
 
 
-@query("latlon_to_world_pixel", "select sup_id, round(px, 4) as px, round(py, 4) as py from site_px")
+@query("latlon_to_world_pixel", "select sup_id, round(px, 2) as px, round(py, 2) as py from site_px")
 def latlon_to_world_pixel(t):
     world = Imagery().world_size
-    return t.sites.select("sup_id", F.round(geo.world_x("longitude", world), 4).alias("px"),
-                          F.round(geo.world_y("latitude", world), 4).alias("py"))
+    return t.sites.select("sup_id", F.round(geo.world_x("longitude", world), 2).alias("px"),
+                          F.round(geo.world_y("latitude", world), 2).alias("py"))
 
 
 @query("world_pixel_to_latlon", f"select detection_id, round({world_lat_sql('gy')}, 9) as latitude, round(gx/{WORLD}*360e0-180e0, 9) as longitude from box_px")
@@ -582,7 +582,7 @@ def visual_offset_position(t):
 
 @query("local_offset_m", """
 select pred_id, true as rounded, round_even((x1+x2)/2e0, 1) as centre_x, round_even((y1+y2)/2e0, 1) as centre_y,
- round(sqrt(power(((x1+x2)/2e0-512e0)*(100e0/1024e0),2)+power(((y1+y2)/2e0-512e0)*(100e0/1024e0),2)), 2) as distance_centre_m from predictions
+ round_even(sqrt(power(((x1+x2)/2e0-512e0)*(100e0/1024e0),2)+power(((y1+y2)/2e0-512e0)*(100e0/1024e0),2)), 2) as distance_centre_m from predictions
 """)
 def local_offset_m(t):
     # Ties in the confidence's fifth decimal depend on its binary form, so the SQL
@@ -638,8 +638,10 @@ def centred_patch(t):
     return df.select(F.col("SUP_ID").alias("sup_id"), "image", "world_left", "world_top")
 
 
-TILE_SQL = PATCH_SQL + """, e as (select *, cast(floor(world_left/256e0) as bigint) as x0, cast(floor((world_left+1023)/256e0) as bigint) as x1,
- cast(floor(world_top/256e0) as bigint) as y0, cast(floor((world_top+1023)/256e0) as bigint) as y1 from patches),
+TILE_SQL = """
+with p as (select concat('support_', sup_id, '.jpg') as image, cast(round_even(px - 512e0, 0) as bigint) as world_left, cast(round_even(py - 512e0, 0) as bigint) as world_top from site_px),
+e as (select *, cast(floor(world_left/256e0) as bigint) as x0, cast(floor((world_left+1023)/256e0) as bigint) as x1,
+ cast(floor(world_top/256e0) as bigint) as y0, cast(floor((world_top+1023)/256e0) as bigint) as y1 from p),
 tiles as (select e.*, x0 + i.i as tile_x, y0 + j.j as tile_y from e
  join (select unnest([0,1,2,3,4]) as i) i on x0 + i.i <= x1 join (select unnest([0,1,2,3,4]) as j) j on y0 + j.j <= y1)
 """
@@ -647,14 +649,14 @@ tiles as (select e.*, x0 + i.i as tile_x, y0 + j.j as tile_y from e
 
 @query("patch_tiles", TILE_SQL + "select distinct tile_x, tile_y from tiles")
 def patch_tiles(t):
-    return zones.patch_tiles(zones.grid_patches(zone_centres(t))).select("tile_x", "tile_y").distinct()
+    return zones.patch_tiles(zones.centred_patches(t.catalogue)).select("tile_x", "tile_y").distinct()
 
 
 @query("tile_mosaic_offset", TILE_SQL + """
 select image, tile_x, tile_y, (tile_x - x0)*256 as paste_x, (tile_y - y0)*256 as paste_y, world_left - x0*256 as crop_left, world_top - y0*256 as crop_top from tiles
 """)
 def tile_mosaic_offset(t):
-    return zones.patch_tiles(zones.grid_patches(zone_centres(t))).select(
+    return zones.patch_tiles(zones.centred_patches(t.catalogue)).select(
         "image", "tile_x", "tile_y", "paste_x", "paste_y", "crop_left", "crop_top")
 
 
