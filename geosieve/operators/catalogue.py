@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geosieve.functions import geo, text
 from geosieve.operators import checks
-from geosieve.operators.spread import fits_broadcast
+from geosieve.operators.spread import fits_broadcast, materialize_with
 
 RAW_NEEDED = [
     "SUP_ID", "STA_NM_ANFR", "NAT_ID", "COM_CD_INSEE",
@@ -94,8 +94,9 @@ def prepare_reference(
     """
     checks.require_columns(raw, RAW_NEEDED)
     order = order or [F.col("_row").asc()]
-    rows = department(raw, department_code)
-    if rows.isEmpty():
+    # Checked several times below, so the department's rows are parsed once.
+    rows, seen = materialize_with(department(raw, department_code), "department")
+    if not seen["rows"]:
         raise ValueError(f"no site in department {department_code}")
     wrong = checks.inconsistent_ids(rows, "SUP_ID", PHYSICAL).head()
     if wrong:
@@ -163,13 +164,17 @@ def kpis(df: DataFrame, types: list[str] | None = None, pattern: str = "") -> Da
         match = F.col("SUP_ID").cast("string").rlike("(?i)" + pattern)
         chosen = chosen & F.coalesce(match, F.lit(False))
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    return df.agg(
-        F.count(F.lit(1)).alias("sites"),
-        F.count_distinct("TYPE").alias("types"),
-        F.count(F.when(located, 1)).alias("located"),
+    # One row per type first: then counting types needs no second distinct pass.
+    by_type = df.groupBy("TYPE").agg(
+        F.count(F.lit(1)).alias("sites"), F.count(F.when(located, 1)).alias("located"),
         F.count(F.when(chosen, 1)).alias("selected"),
         F.count(F.when(chosen & located, 1)).alias("selected_located"),
-        F.count_distinct(F.when(chosen, F.col("TYPE"))).alias("selected_types"),
+    )
+    names = ["sites", "located", "selected", "selected_located"]
+    return by_type.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
+        F.count("TYPE").alias("types"),
+        F.count(F.when(F.col("selected") > 0, F.col("TYPE"))).alias("selected_types"),
     )
 
 

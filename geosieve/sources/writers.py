@@ -77,6 +77,7 @@ def write_labels(labels: DataFrame, path: str) -> None:
 
 
 def write_label_files(labels: DataFrame, path: str) -> None:
-    """Label lines as text, one folder per split and label file."""
-    lines = labels.select("split", "label_file", F.rtrim("label").alias("value"))
+    """Label lines as text, one folder per split and label file; a label without a box
+    is an empty line. For very many images prefer ``write_labels``."""
+    lines = labels.select("split", "label_file", F.regexp_replace("label", r"\n$", "").alias("value"))
     lines.write.mode("overwrite").partitionBy("split", "label_file").text(path)
