@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A number as the source files write it; rejects Java-only forms such as '1d'.
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 
 
 def to_number(name: str) -> Column:
     """Double, or null where the text is not a number; NaN becomes null."""
     text = F.trim(F.col(name).cast("string"))
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    infinite = F.lower(text).isin("inf", "+inf", "infinity", "+infinity")
-    minus = F.lower(text).isin("-inf", "-infinity")
-    return (
-        F.when(infinite, F.lit(float("inf")))
-        .when(minus, F.lit(float("-inf")))
-        .otherwise(value)
-    )
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def numbers(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """``to_number`` for text columns; numeric ones only lose their NaN values."""
+    types = {name.lower(): kind for name, kind in df.dtypes}
+    missing = F.lit(None).cast("double")
+    return {
+        c: to_number(c) if types[c.lower()] == "string" else F.nanvl(F.col(c).cast("double"), missing)
+        for c in columns
+    }
 
 
 def to_number_comma(name: str) -> Column:

@@ -133,7 +133,7 @@ def calibrate(annotations: DataFrame, sites: DataFrame, cfg: Imagery | None = No
     """Offset of every visible annotation to its own and to its nearest site."""
     numbers = ["latitude", "longitude", *boxes.CORNERS]
     checks.require_columns(annotations, ["SUP_ID", "status", *numbers])
-    seen = visible(annotations).withColumns({c: text.to_number(c) for c in numbers})
+    seen = visible(annotations).withColumns(text.numbers(annotations, numbers))
     state = seen.agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.greatest(*[F.col(c).isNull() for c in numbers]), 1)).alias("bad"),

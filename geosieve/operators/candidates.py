@@ -25,10 +25,7 @@ def far_filter(detections: DataFrame, min_distance_m: float = 150.0) -> DataFram
     require_columns(detections, NEEDED)
     if min_distance_m < 0:
         raise ValueError("min_distance_m must not be negative")
-    if dict(detections.dtypes)["nearest_ANFR_distance_m"] in ("double", "float"):
-        distance = F.nanvl("nearest_ANFR_distance_m", F.lit(None).cast("double"))
-    else:
-        distance = text.to_number("nearest_ANFR_distance_m")
+    distance = text.numbers(detections, ["nearest_ANFR_distance_m"])["nearest_ANFR_distance_m"]
     return detections.filter(distance >= min_distance_m)
 
 

@@ -113,7 +113,7 @@ def clean_sites(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Numeric coordinates in range and one row per site; fails when none is left."""
     checks.require_columns(df, ["SUP_ID", "latitude", "longitude"])
     order = order or [F.col("_row").asc()]
-    sites = df.withColumns({c: text.to_number(c) for c in ("latitude", "longitude")})
+    sites = df.withColumns(text.numbers(df, ["latitude", "longitude"]))
     sites = first_per_key(sites.filter(geo.valid_latlon("latitude", "longitude")), "SUP_ID", order)
     if sites.isEmpty():
         raise ValueError("the site catalogue has no valid site")

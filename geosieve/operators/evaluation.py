@@ -15,7 +15,7 @@ from geosieve.operators.annotations import usable
 from geosieve.operators.spread import materialize, materialize_with, rank_rows, skew_join
 
 # The confidence thresholds of the published sweep.
-THRESHOLDS = [0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25]
+THRESHOLDS = [0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3]
 AP_IOUS = [(50 + 5 * i) / 100 for i in range(10)]
 
 

@@ -85,8 +85,9 @@ def zone_summary(
 def map_center(candidates: DataFrame, sites: DataFrame) -> DataFrame:
     """Mean position of the candidates, else of the sites, else a fixed one."""
     def means(df: DataFrame, tag: str) -> DataFrame:
-        return df.agg(F.avg(text.to_number("latitude")).alias(f"{tag}_lat"),
-                      F.avg(text.to_number("longitude")).alias(f"{tag}_lon"))
+        place = text.numbers(df, ["latitude", "longitude"])
+        return df.agg(F.avg(place["latitude"]).alias(f"{tag}_lat"),
+                      F.avg(place["longitude"]).alias(f"{tag}_lon"))
 
     first, second = means(candidates, "c"), means(sites, "s")
     one = first.select(

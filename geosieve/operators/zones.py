@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geosieve.config import Imagery
-from geosieve.functions import geo
+from geosieve.functions import geo, text
 from geosieve.operators import checks
 from geosieve.operators.cells import Metric
 from geosieve.operators.proximity import count_within
@@ -58,9 +58,8 @@ def contrasting_zones(
     if separation_m <= 0:
         raise ValueError("separation_m must be positive")
     checks.require_columns(sites, ["SUP_ID", "latitude", "longitude"])
-    located = sites.withColumns(
-        {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in ("latitude", "longitude")}
-    ).filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    located = sites.withColumns(text.numbers(sites, ["latitude", "longitude"]))
+    located = located.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     thin = located.select(F.col("SUP_ID").cast("string").alias("SUP_ID"), "latitude", "longitude")
     counts = materialize(density_counts(thin, radius_m), "density")
     row = F.struct("SUP_ID", "latitude", "longitude", "density")
