@@ -148,6 +148,7 @@ class PairLevel:
     cells: DataFrame
     full: DataFrame
     open: DataFrame
+    n_open: int
 
 
 @dataclass
@@ -217,12 +218,13 @@ def near_pairs(
     pairs = _judge(left.join(right, [*group, *aim]).drop(*aim), metric, open_pairs)
     level = 0
     while True:
-        undecided = F.sum(F.when(F.col("state") == "split", 1).otherwise(0))
-        pairs, seen = materialize_with(pairs, "pairs", undecided=undecided)
+        states = {s: F.count(F.when(F.col("state") == s, 1)) for s in ("open", "split")}
+        pairs, seen = materialize_with(pairs, "pairs", **states)
         full = pairs.filter(F.col("state") == "full")
-        result.levels.append(PairLevel(level, cells, full, pairs.filter(F.col("state") == "open")))
+        still_open = pairs.filter(F.col("state") == "open")
+        result.levels.append(PairLevel(level, cells, full, still_open, seen["open"]))
         split = pairs.filter(F.col("state") == "split")
-        if not seen["undecided"]:
+        if not seen["split"]:
             return result
         # Halve both cells of every pair still undecided. Only cell summaries
         # are joined: at most eight children per cell.
@@ -248,14 +250,23 @@ def near_pairs(
 def opened(found: NearPairs, step: PairLevel, positions: DataFrame, metric: Metric) -> DataFrame:
     """Point pairs within reach inside one level's open cell pairs (columns p_*, q_*).
 
-    Open pairs hold few points each, so cells above HOT_ROWS are set aside before
-    the points are shuffled; there are at most (all points / HOT_ROWS) of those.
+    Only the points of open cells are needed. Few open cells are broadcast to pick
+    them. Otherwise cells above HOT_ROWS, which hold too many points to be open,
+    are set aside before the points are shuffled; there are at most
+    (all points / HOT_ROWS) of those.
     """
     keys = [*found.group, *CELL]
-    hot = step.cells.filter(F.col("n") > HOT_ROWS).select(*keys)
-    points = positions.withColumns(dict(zip(CELL, cell_columns(found.side, step.level))))
-    points = points.join(F.broadcast(hot), keys, "left_anti")
     pairs = step.open
+    points = positions.withColumns(dict(zip(CELL, cell_columns(found.side, step.level))))
+    if 2 * step.n_open <= BROADCAST_ROWS:
+        sides = [
+            pairs.select(*found.group, *[F.col(f"{t}_{c}").alias(c) for c in CELL]) for t in "ab"
+        ]
+        used = sides[0].unionByName(sides[1]).distinct()
+        points = points.join(F.broadcast(used), keys, "left_semi")
+    else:
+        hot = step.cells.filter(F.col("n") > HOT_ROWS).select(*keys)
+        points = points.join(F.broadcast(hot), keys, "left_anti")
 
     def side(tag: str, name: str) -> DataFrame:
         renamed = {c: f"{name}_{c}" for c in points.columns if c not in keys}

@@ -80,6 +80,8 @@ def count_within(
             skew_join(keyed, whole, keys, spread=["id"], counts=step.cells)
             .select(*group, "id", "add")
         )
+        if not step.n_open:
+            continue
         rim = opened(found, step, positions, metric)
         sums.append(rim.groupBy(*group, F.col("p_id").alias("id")).agg(F.sum("q_w").alias("add")))
     total = sums[0]
@@ -203,11 +205,11 @@ def close_groups(
     )
     edges = None
     for step in found.levels:
-        rim = opened(found, step, positions, metric)
-        part = step.full.select(*group, F.col("a_vertex").alias("a"), F.col("b_vertex").alias("b"))
-        part = part.unionByName(
-            rim.select(*group, F.col("a_vertex").alias("a"), F.col("b_vertex").alias("b"))
-        )
+        ends = [F.col("a_vertex").alias("a"), F.col("b_vertex").alias("b")]
+        part = step.full.select(*group, *ends)
+        if step.n_open:
+            rim = opened(found, step, positions, metric)
+            part = part.unionByName(rim.select(*group, *ends))
         edges = part if edges is None else edges.unionByName(part)
     return Groups(positions, found, connected_components(edges, group), group)
 
