@@ -73,13 +73,15 @@ def count_within(
         whole = step.full.groupBy(*group, *[F.col(f"a_{c}").alias(c) for c in CELL]).agg(
             F.sum("b_w").alias("add")
         )
-        # One row per cell with its share; cells become positions below.
+        whole, size = materialize_with(whole, "whole")
+        # One row per cell with its share, handed on to the cell's positions.
         cells = cell_columns(found.side, step.level)
         keyed = positions.select(*group, "id", *cells)
-        sums.append(
-            skew_join(keyed, whole, keys, spread=["id"], counts=step.cells)
-            .select(*group, "id", "add")
+        shared = skew_join(
+            keyed, whole, keys, spread=["id"], counts=step.cells,
+            small_right=size["rows"] <= BROADCAST_ROWS,
         )
+        sums.append(shared.select(*group, "id", "add"))
         if not step.n_open:
             continue
         rim = opened(found, step, positions, metric)
@@ -89,11 +91,12 @@ def count_within(
         total = total.unionByName(part)
     total = total.groupBy(*group, "id").agg(F.sum("add").alias(name))
     counted = positions.select(*group, *spot, "id", "w").join(total, [*group, "id"])
+    counted, size = materialize_with(counted, "counted")
     counts = counted.select(*group, *spot, F.col("w").alias("n"))
     placed = points.withColumns({c: F.col(c).cast("double") for c in spot})
     return skew_join(
         placed, counted.select(*group, *spot, name), [*group, *spot],
-        spread=[*group, id_col], counts=counts,
+        spread=[*group, id_col], counts=counts, small_right=size["rows"] <= BROADCAST_ROWS,
     )
 
 
@@ -238,8 +241,10 @@ def label_groups(
     named = skew_join(
         vertices.select(*keys, "root"), least, [*group, "root"], spread=CELL
     ).drop("root")
+    named, size = materialize_with(named, "named")
     counts = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return skew_join(
-        celled, named, keys, spread=[*group, id_col], counts=counts
+        celled, named, keys, spread=[*group, id_col], counts=counts,
+        small_right=size["rows"] <= BROADCAST_ROWS,
     ).drop(*CELL)
 

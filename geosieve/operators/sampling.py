@@ -13,7 +13,9 @@ from geosieve.operators.catalogue import exclude_natures
 from geosieve.operators.cells import Metric
 from geosieve.operators.nearest import nearest_site
 from geosieve.operators.proximity import close_groups, label_groups
-from geosieve.operators.spread import materialize, rank_rows, skew_join
+from geosieve.operators.spread import (
+    BROADCAST_ROWS, materialize, materialize_with, rank_rows, skew_join,
+)
 
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
 
@@ -127,9 +129,11 @@ def spatial_split(
         F.broadcast(ranges).alias("q"),
         (F.col("g.size") == F.col("q.size")) & F.col("_place").between(F.col("lo"), F.col("hi")),
     ).select("split_group", "split")
+    chosen, seen = materialize_with(chosen, "chosen")
     return skew_join(
         grouped, chosen, ["split_group"], spread=["SUP_ID"],
         counts=sizes.withColumnRenamed("size", "n"),
+        small_right=seen["rows"] <= BROADCAST_ROWS,
     )
 
 
