@@ -12,7 +12,7 @@ from geosieve.operators import checks, evaluation, images, review, zones
 from geosieve.operators.candidates import far_filter
 from geosieve.operators.spread import scratch_path
 from geosieve.plans.registry import (
-    WORLD, haversine_sql, query, split_distance_sql, world_lat_sql, world_y_sql,
+    WORLD, haversine_sql, query, split_distance_sql, world_lat_sql,
 )
 from geosieve.sources import readers, writers
 

@@ -47,11 +47,6 @@ def split_distance_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 WORLD = "134217728e0"
 
 
-def world_y_sql(lat: str) -> str:
-    t = f"tan(radians({lat}))"
-    return f"((1e0 - ln({t} + sqrt({t}*{t}+1e0))/pi())/2e0*{WORLD})"
-
-
 def world_lat_sql(py: str) -> str:
     n = f"(pi()-2e0*pi()*({py})/{WORLD})"
     return f"degrees(atan((exp({n})-exp(-{n}))/2e0))"
