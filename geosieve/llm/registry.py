@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from geosieve.llm import (
-    queries_decontaminate, queries_urls,
+    queries_decontaminate, queries_minhash, queries_urls,
 )
 
-MODULES = [queries_decontaminate, queries_urls]
+MODULES = [queries_decontaminate, queries_minhash, queries_urls]
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -38,6 +38,38 @@ def map_arrow(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """Apply ``work`` (RecordBatch to RecordBatch or None) to the rows of each key.
+
+    For groups whose size the caller has bounded: rows are dealt out and sorted by the keys, and a
+    task holds one Arrow batch and one group at a time.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if rest is None else [*rest, batch])
+            changed = np.zeros(table.num_rows - 1, dtype=bool)
+            for key in keys:
+                column = table.column(key).to_numpy()
+                changed |= column[1:] != column[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+            for start, stop in zip(cuts[:-1], cuts[1:]):
+                out = work(table.slice(start, stop - start).combine_chunks().to_batches()[0])
+                if out is not None:
+                    yield out
+            rest = table.slice(cuts[-1]).combine_chunks().to_batches()
+        if rest is not None:
+            out = work(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
+            if out is not None:
+                yield out
+
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table."""
     path = scratch_path(df.sparkSession, name)
