@@ -10,8 +10,10 @@ their full shingle sets (64-bit hashes), so no link is wrong.
 Scale: a bucket of g classes is never expanded into its pairs. Every member is first compared with
 the bucket's least class, then with its greatest if they are still apart; after each round linked
 classes are joined into components. Only buckets that still hold several components go on: members
-outside the largest component are compared with the rest in blocks of bounded size, in numpy, and
-only survivors leave the task. Pairs inside one component cannot change it, so no link between
+outside the largest component are compared with the rest in blocks of bounded size, in numpy:
+survivors are confirmed where they are found, so that only links between components leave the task.
+There the triangle inequality on exact distances from the bucket's least class spares most pairs
+that are near the threshold but below it. Pairs inside one component cannot change it, so no link between
 components is lost. Exact copies collapse in a partial aggregate before anything is shuffled. Texts
 are scanned twice and never shuffled; the second scan makes the sets of classes in shared buckets,
 picked out by a bitmap of bounded size.
@@ -39,7 +41,8 @@ from geosieve.llm.spark_hash import spark_long
 
 WORD = np.ones(256, dtype=bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
-LEFT, RIGHT = 256, 2048  # rows of a block in the last comparison
+# Bounds of a block in the last comparison: rows of either side, bytes of sets.
+LEFT, RIGHT, BYTES = 256, 2048, 1 << 25
 
 
 def banding(threshold: float, miss: float, most: int = 128) -> tuple[int, int]:
@@ -155,58 +158,82 @@ def _screened(pairs: DataFrame, sigs: DataFrame, at_least) -> DataFrame:
     return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), work, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both, total): sizes of the intersection and union of the full sets of each pair."""
     def work(batches):
         for batch in batches:
-            keep = []
+            both, total = [], []
             for x, y in zip(batch.column("ta"), batch.column("tb")):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 if len(x) > len(y):
                     x, y = y, x
-                keep.append(False)
-                if den * len(x) >= num * len(y):
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    keep[-1] = den * both >= num * (len(x) + len(y) - both)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both.append(int((y[at] == x).sum()))
+                total.append(len(x) + len(y) - both[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(total, pa.int64())],
+                names=["a", "b", "both", "total"])
 
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("ta"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("tb"))
-    return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb"), work, "a long, b long").distinct()
+    return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb"), work, "a long, b long, both long, total long")
 
 
-def _rest(members: DataFrame, sigs: DataFrame, at_least) -> DataFrame:
-    """Surviving pairs of members (key, id, root) of different roots, in blocks."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    return _overlap(pairs, sets).filter(F.col("both") * den >= F.col("total") * num).select("a", "b").distinct()
+
+
+def _links_apart(members: DataFrame, full: DataFrame, at_least, num: int, den: int) -> DataFrame:
+    """Links between members (key, id, root, away) of different roots, compared in blocks.
+
+    ``away`` is the exact distance (1 - similarity) from the bucket's least class. Distances obey
+    the triangle inequality, so members whose distances differ by more than the limit are no link.
+    A block also drops pairs whose roots it has joined already.
+    """
     totals = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     tops = totals.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).filter("top.n < n")
-    part = members.join(tops, "key").select(
-        "key", "id", "root", F.col("top.root").alias("top"),
-        F.ceil((F.col("n") - F.col("top.n")) / LEFT).cast("int").alias("nl"), F.ceil(F.col("n") / RIGHT).cast("int").alias("nr"))
+    sized = members.join(full.select("id", F.length("set").alias("bytes")), "id")
+    room = sized.groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    part = sized.join(tops, "key").join(room.withColumnRenamed("bytes", "all"), "key").select(
+        "key", "id", "root", "away", F.col("top.root").alias("top"),
+        F.ceil(F.greatest((F.col("n") - F.col("top.n")) / LEFT, F.col("all") / BYTES)).cast("int").alias("nl"),
+        F.ceil(F.greatest(F.col("n") / RIGHT, F.col("all") / BYTES)).cast("int").alias("nr"))
     spot = F.xxhash64("id")
     left = part.filter("root <> top").select(
         "key", F.pmod(spot, "nl").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"),
-        F.lit(0).alias("side"), "id", "root", "top")
+        F.lit(0).alias("side"), "id", "root", "top", "away")
     right = part.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), F.pmod(spot, "nr").cast("int").alias("r"),
-        F.lit(1).alias("side"), "id", "root", "top")
+        F.lit(1).alias("side"), "id", "root", "top", "away")
+    reach = 1 - num / den + 1e-9
 
     def work(group):
         side = group.column("side").to_numpy()
-        ids, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
+        ids, roots, away = (group.column(c).to_numpy() for c in ("id", "root", "away"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        sets = [np.frombuffer(x.as_buffer(), U) for x in group.column("set")]
+        size = np.array([len(x) for x in sets])
         lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        top = group.column("top")[0].as_py()
-        out = []
+        top, joined, links = group.column("top")[0].as_py(), roots.copy(), []
         for i in lefts:
-            other = rights[(roots[rights] != roots[i]) & ((roots[rights] == top) | (ids[rights] > ids[i]))]
+            other = rights[(roots[rights] != roots[i]) & ((roots[rights] == top) | (ids[rights] > ids[i]))
+                           & (np.abs(away[rights] - away[i]) <= reach)
+                           & (np.minimum(size[rights], size[i]) * den >= np.maximum(size[rights], size[i]) * num)]
             live = other[screen(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], at_least)]
-            out.append(np.stack([np.minimum(ids[i], ids[live]), np.maximum(ids[i], ids[live])]))
-        if not out:
+            for j in live[np.argsort(-(sig[live] == sig[i]).sum(axis=1), kind="stable")]:
+                if joined[i] == joined[j]:
+                    continue
+                x, y = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if both * den >= (len(x) + len(y) - both) * num:
+                    links.append((ids[i], ids[j]))
+                    joined[joined == joined[i]] = joined[j]
+        if not links:
             return None
-        a, b = np.concatenate(out, axis=1)
+        a, b = np.array(links, dtype=np.int64).T
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = left.union(right).join(sigs.select("id", "sig"), "id").select("key", "l", "r", "side", "id", "root", "top", "sig")
+    dealt = left.union(right).join(full, "id").select("key", "l", "r", "side", "id", "root", "top", "away", "sig", "set")
     return map_groups(dealt, ["key", "l", "r"], work, "a long, b long").distinct()
 
 
@@ -240,16 +267,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
             # A bucket of two has had its only pair compared.
             placed, open_ = written_with(
-                placed.join(apart.filter("r0 < r1 and n > 2"), "key").select("key", "id", "hi", "root"), "open")
+                placed.join(apart.filter("r0 < r1 and n > 2"), "key").select("key", "id", "lo", "hi", "root"), "open")
             if not open_["rows"]:
                 break
             if step == "greatest":
                 ends = placed.filter("id = hi").select("key", F.col("root").alias("end"))
                 pairs = placed.join(ends, "key").filter("root <> end").select(F.col("id").alias("a"), F.col("hi").alias("b")).distinct()
-                pairs = _screened(pairs, sigs, at_least)
+                more = _confirmed(_screened(pairs, sigs, at_least), sets, num, den)
             else:
-                pairs = _rest(placed, sigs, at_least)
-            more, found = written_with(_confirmed(pairs, sets, num, den), "links")
+                known = _overlap(placed.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), sets)
+                known = known.select(F.col("a").alias("lo"), F.col("b").alias("id"), (1 - F.col("both") / F.col("total")).alias("away"))
+                placed = placed.join(known, ["lo", "id"], "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
+                full = sigs.select("id", "digest", "sig").join(sets, ["id", "digest"]).select("id", "sig", "set")
+                more = _links_apart(placed, full, at_least, num, den)
+            more, found = written_with(more, "links")
             if found["rows"]:
                 edges = edges.union(more)
     label = classes.select("digest", F.col("id").alias("class_id"))
