@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from geosieve.llm import (
-    queries_decontaminate, queries_minhash, queries_urls,
+    queries_decontaminate, queries_html, queries_minhash, queries_models, queries_pieces, queries_urls, queries_vectors,
 )
 
-MODULES = [queries_decontaminate, queries_minhash, queries_urls]
+MODULES = [
+    queries_decontaminate, queries_minhash, queries_urls, queries_models, queries_vectors, queries_html, queries_pieces,
+]
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
