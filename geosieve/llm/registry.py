@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from geosieve.llm import (
-    queries_decontaminate, queries_html, queries_minhash, queries_models, queries_pieces, queries_urls, queries_vectors,
+    queries_decontaminate, queries_html, queries_minhash, queries_models, queries_pieces, queries_private,
+    queries_suffixes, queries_urls, queries_vectors,
 )
 
 MODULES = [
-    queries_decontaminate, queries_minhash, queries_urls, queries_models, queries_vectors, queries_html, queries_pieces,
+    queries_decontaminate, queries_minhash, queries_urls, queries_models, queries_vectors, queries_suffixes,
+    queries_html, queries_private, queries_pieces,
 ]
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
