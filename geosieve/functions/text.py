@@ -48,6 +48,8 @@ def is_true(name: str) -> Column:
 
 def relabel(name: str, labels: dict[str, str]) -> Column:
     """Replace the values found in ``labels``; keep all others."""
+    if not labels:
+        return F.col(name)
     pairs = [F.lit(part) for item in labels.items() for part in item]
     return F.coalesce(F.create_map(*pairs)[F.col(name)], F.col(name))
 

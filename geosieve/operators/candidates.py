@@ -16,8 +16,15 @@ from geosieve.operators.spread import materialize, rank_rows, skew_join
 NEEDED = [
     "detection_id", "zone_id", "confidence", "latitude", "longitude", "nearest_ANFR_distance_m",
 ]
-# Clusters of more detections keep their members in cluster_members() only.
-INLINE_IDS = 100_000
+
+
+def _zone_key(zone: str = "zone_id"):
+    """The zone as a join key: a missing zone is a zone like any other."""
+    return F.coalesce(F.concat(F.lit("="), F.col(zone).cast("string")), F.lit(""))
+
+
+def _zone_name(key: str = "zone_id"):
+    return F.when(F.col(key) != "", F.substring(key, 2, 1 << 30))
 
 
 def far_filter(detections: DataFrame, min_distance_m: float = 150.0) -> DataFrame:
@@ -31,37 +38,50 @@ def far_filter(detections: DataFrame, min_distance_m: float = 150.0) -> DataFram
 
 @dataclass
 class Clusters:
-    """Detections, their proximity groups and one row per cluster."""
+    """Detections, their proximity groups and one row per cluster.
+
+    ``zone_id`` of the inner tables is a key without nulls; ``loose`` are the detections
+    without a position, which are near nothing.
+    """
 
     points: DataFrame
+    loose: DataFrame
     groups: Groups
     vertices: DataFrame
     table: DataFrame
 
-    def members(self) -> DataFrame:
-        """One row per detection with its cluster's root, whatever the cluster's size."""
+    def keyed_members(self) -> DataFrame:
         keys = ["zone_id", *CELL]
-        return skew_join(
+        placed = skew_join(
             self.points, self.vertices.select(*keys, "root"), keys,
             spread=["zone_id", "detection_id"], counts=self.vertices,
         ).drop(*CELL)
+        return placed.unionByName(self.loose.withColumn("root", F.col("detection_id")))
+
+    def members(self) -> DataFrame:
+        """One row per detection with its cluster's root, whatever the cluster's size."""
+        return self.keyed_members().withColumn("zone_id", _zone_name())
 
 
 def cluster_detections(detections: DataFrame, cluster_distance_m: float = 30.0) -> Clusters:
     """Group detections of one zone linked by steps of at most the given distance.
 
     (zone_id, detection_id) is the key of the detections, and detection_id gives
-    the input order.
+    the input order. A detection without a position is a cluster of its own, a null zone is a
+    zone like any other, and a confidence that is no number never makes a representative of a
+    cluster that has one.
     """
     require_columns(detections, NEEDED)
     if cluster_distance_m <= 0:
         raise ValueError("cluster_distance_m must be positive")
     metric = Metric(cluster_distance_m)
     thin = detections.select(
-        F.col("zone_id").cast("string").alias("zone_id"), "detection_id",
-        *[F.col(c).cast("double").alias(c) for c in NEEDED[2:]],
+        _zone_key().alias("zone_id"), "detection_id",
+        *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in NEEDED[2:]],
     )
-    thin = materialize(thin, "far")
+    far = materialize(thin, "far")
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    thin, loose = far.filter(located), far.filter(~located)
     groups = close_groups(thin, "detection_id", metric, group=["zone_id"])
     points = group_cells(thin, groups.side, metric.radius)
     keys = ["zone_id", *CELL]
@@ -88,31 +108,24 @@ def cluster_detections(detections: DataFrame, cluster_distance_m: float = 30.0)
         F.col("best.confidence").alias("cluster_max_confidence"),
         "cluster_max_distance_anfr_m", "cluster_first_id",
     )
-    return Clusters(points, groups, vertices, materialize(table, "clusters"))
-
+    single = loose.select(
+        "zone_id", F.col("detection_id").alias("root"), "detection_id", F.lit(1).cast("long").alias("detections_in_cluster"),
+        F.col("confidence").alias("cluster_max_confidence"),
+        F.col("nearest_ANFR_distance_m").alias("cluster_max_distance_anfr_m"),
+        F.col("detection_id").alias("cluster_first_id"),
+    )
+    return Clusters(points, loose, groups, vertices, materialize(table.unionByName(single), "clusters"))
 
-def cluster_table(clusters: Clusters, inline_ids: int = INLINE_IDS) -> DataFrame:
-    """One row per cluster with its size, maxima, representative and member ids.
 
-    The ids are listed in input order. Above ``inline_ids`` members the list is
-    null, for it would have to grow in one task; ``Clusters.members`` has them all.
-    """
+def _keyed_table(clusters: Clusters) -> DataFrame:
     table = clusters.table
-    sized = table.select("zone_id", "root", "detections_in_cluster")
-    several = sized.filter(F.col("detections_in_cluster").between(2, inline_ids))
-    # Cells above the limit belong to no listed cluster; at most
-    # (all detections / inline_ids) of them are set aside before the shuffle.
-    keys = ["zone_id", *CELL]
-    big = clusters.vertices.filter(F.col("n") > inline_ids).select(*keys)
-    listed = clusters.vertices.select(*keys, "root").join(several, ["zone_id", "root"])
-    members = clusters.points.join(F.broadcast(big), keys, "left_anti").join(
-        listed.select(*keys, "root"), keys
-    )
+    # Clusters of one need no list: only the members of larger ones are gathered.
+    several = table.filter("detections_in_cluster > 1").select("zone_id", "root")
+    members = clusters.keyed_members().select("zone_id", "root", "detection_id").join(several, ["zone_id", "root"])
     lists = members.groupBy("zone_id", "root").agg(
         F.array_sort(F.collect_list("detection_id")).alias("ids")
     )
-    single = F.col("detections_in_cluster") == 1
-    named = F.when(single, F.array("detection_id")).otherwise(F.col("ids"))
+    named = F.coalesce("ids", F.array("detection_id"))
     return (
         table.join(lists, ["zone_id", "root"], "left")
         .withColumn("cluster_detection_id_list", named)
@@ -124,6 +137,15 @@ def cluster_table(clusters: Clusters, inline_ids: int = INLINE_IDS) -> DataFrame
     )
 
 
+def cluster_table(clusters: Clusters) -> DataFrame:
+    """One row per cluster with its size, maxima, representative and all member ids.
+
+    The ids are listed in input order, whatever their number; ``Clusters.members`` has them
+    as rows.
+    """
+    return _keyed_table(clusters).withColumn("zone_id", _zone_name())
+
+
 def number_candidates(candidates: DataFrame, *, per_zone: bool = False) -> DataFrame:
     """C001, C002, ... by zone, then falling confidence, then first detection.
 
@@ -139,15 +161,27 @@ def number_candidates(candidates: DataFrame, *, per_zone: bool = False) -> DataF
     return ranked.withColumn("candidate_id", F.format_string("C%03d", F.col("candidate_number")))
 
 
+def merge_candidates(
+    detections: DataFrame, cluster_distance_m: float = 30.0, *, per_zone: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The candidates of ``dedup_candidates`` and their members.
+
+    Members: zone_id, root (a name of the cluster in its zone), detection_id of every detection.
+    """
+    clusters = cluster_detections(detections, cluster_distance_m)
+    table = _keyed_table(clusters).withColumnRenamed("zone_id", "_zone").drop("root")
+    merged = detections.withColumn("zone_id", F.col("zone_id").cast("string")).withColumn(
+        "_zone", _zone_key()
+    ).join(table, ["_zone", "detection_id"]).drop("_zone")
+    members = clusters.members().select("zone_id", "root", "detection_id")
+    return number_candidates(merged, per_zone=per_zone), members
+
+
 def dedup_candidates(
     detections: DataFrame, cluster_distance_m: float = 30.0, *, per_zone: bool = False
 ) -> DataFrame:
     """Merge close detections of a zone; each cluster keeps its most confident one."""
-    clusters = cluster_table(cluster_detections(detections, cluster_distance_m))
-    merged = detections.withColumn("zone_id", F.col("zone_id").cast("string")).join(
-        clusters.drop("root"), ["zone_id", "detection_id"]
-    )
-    return number_candidates(merged, per_zone=per_zone)
+    return merge_candidates(detections, cluster_distance_m, per_zone=per_zone)[0]
 
 
 def build_candidates(

@@ -98,7 +98,9 @@ def prepare_reference(
     rows, seen = materialize_with(department(raw, department_code), "department")
     if not seen["rows"]:
         raise ValueError(f"no site in department {department_code}")
-    wrong = checks.inconsistent_ids(rows, "SUP_ID", PHYSICAL).head()
+    wrong = checks.inconsistent_ids(
+        rows, "SUP_ID", PHYSICAL, [c for c in PHYSICAL if c == "NAT_ID" or c.startswith("COR_NB")]
+    ).head()
     if wrong:
         raise ValueError(f"SUP_ID {wrong['SUP_ID']} is inconsistent in {wrong['columns']}")
     sites = first_per_key(rows, "SUP_ID", order).join(station_counts(rows), "SUP_ID", "left")

@@ -73,13 +73,18 @@ def duplicated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def inconsistent_ids(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def inconsistent_ids(
+    df: DataFrame, key: str, columns: list[str], numbers: list[str] | None = None
+) -> DataFrame:
     """Keys whose rows differ in a column, null differing from a value.
 
+    Columns in ``numbers`` are compared as numbers: 8, 08 and 8.0 are equal.
+
     Least, greatest and null count tell it: no per-key value sets, and one
     partially combined aggregate for all columns.
     """
     columns = [c for c in columns if c in df.columns]
+    df = df.withColumns({c: text.to_number(c) for c in columns if c in (numbers or [])})
     rows = F.count(F.lit(1)).alias("_rows")
     parts = []
     for c in columns:

@@ -164,7 +164,7 @@ def nearest_site(
 
     Equal distances go to the least site id as text. ``unique`` is a key of the
     points. With ``apart`` only sites that differ from the point in that column
-    count. Points whose coordinates are null are left out.
+    count. Points whose coordinates are null or NaN are left out.
     """
     list_max = LIST_MAX if list_max is None else list_max
     finest = FINEST if finest is None else finest
@@ -181,16 +181,17 @@ def nearest_site(
     )
     if not count["rows"]:
         raise ValueError("the site catalogue has no valid site")
-    placed = _placed(points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()))
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None)).isNotNull() for c in ("latitude", "longitude")]
+    placed = _placed(points.filter(known[0] & known[1]))
     keys = [*labels, *CELL]
     shown = ["site", "lat", "lon"]
-    cells, all_cells = materialize_with(_summaries(placed, labels, LEVEL), "cells")
-    # A cell with m candidates has m rows, so the sum of 1/m counts cells.
-    facts = {"most": F.max("m"), "settled": F.sum(1.0 / F.col("m"))}
+    cells = materialize(_summaries(placed, labels, LEVEL), "cells")
+    facts = {"most": F.max("m")}
     found, seen = materialize_with(_search_near(cells, spots, labels, shown), "near", **facts)
-    if round(seen["settled"] or 0.0) < all_cells["rows"]:
-        missing = cells.join(found.select(*keys).distinct(), keys, "left_anti")
-        far = _search_far(materialize(missing, "missing"), spots, labels, shown)
+    missing, left = materialize_with(
+        cells.join(found.select(*keys).distinct(), keys, "left_anti"), "missing")
+    if left["rows"]:
+        far = _search_far(missing, spots, labels, shown)
         found, seen = materialize_with(found.unionByName(far), "near", **facts)
 
     entry = F.struct("site", "lat", "lon")

@@ -13,8 +13,6 @@ from geosieve.operators.cells import (
 )
 from geosieve.operators.spread import BROADCAST_ROWS, materialize, materialize_with, skew_join
 
-MAX_ROUNDS = 200
-
 
 def positions_of(
     points: DataFrame, id_col: str, group: list[str], metric: Metric
@@ -116,8 +114,6 @@ def connected_components(edges: DataFrame, group: list[str] | None = None) -> Da
     work, seen = materialize_with(both, "edges")
     moves, sizes = [], []
     while seen["rows"]:
-        if len(moves) >= MAX_ROUNDS:
-            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
         seed = F.lit(len(moves))
         # There are at most as many vertices as directed edges.
         small = seen["rows"] <= BROADCAST_ROWS
@@ -151,7 +147,11 @@ def connected_components(edges: DataFrame, group: list[str] | None = None) -> Da
         moved = moved.filter(F.col("new_a") != F.col("new_b")).select(
             *group, F.col("new_a").alias("a"), F.col("new_b").alias("b")
         )
+        before = seen["rows"]
         work, seen = materialize_with(moved.distinct(), "edges")
+        # The vertex that is first in the round's order always absorbs its neighbours.
+        if seen["rows"] >= before:
+            raise RuntimeError("a round of components merged nothing")
     if not moves:
         return edges.select(*group, F.col("a").alias("id"), F.col("a").alias("root")).limit(0)
     # Follow each vertex through the rounds, last round first.

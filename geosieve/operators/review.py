@@ -104,6 +104,8 @@ def map_center(candidates: DataFrame, sites: DataFrame) -> DataFrame:
 def final_selection(reviewed: DataFrame, chosen: dict[str, int], key: str = "unique_candidate_id"
                     ) -> DataFrame:
     """The few chosen candidates with their ranks."""
+    if not chosen:
+        return reviewed.limit(0).withColumn("rang_final", F.lit(None).cast("int"))
     pairs = [F.lit(v) for item in chosen.items() for v in item]
     rank = F.create_map(*pairs)[F.col(key)]
     return reviewed.filter(F.col(key).isin(*chosen)).withColumn("rang_final", rank)

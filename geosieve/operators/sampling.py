@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geosieve.functions import geo
+from geosieve.functions import geo, text
 from geosieve.operators import checks
 from geosieve.operators.catalogue import exclude_natures
 from geosieve.operators.cells import Metric
@@ -38,7 +38,8 @@ def select_sites(
         raise ValueError("count must be positive")
     if not checks.duplicated_keys(sites, "SUP_ID").isEmpty():
         raise ValueError("the catalogue must have one row per SUP_ID")
-    eligible = exclude_natures(sites, excluded)
+    positions = text.numbers(sites, ["latitude", "longitude"])
+    eligible = exclude_natures(sites.withColumns(positions), excluded)
     found = eligible.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(checks.bad_coordinates().cast("int")), F.lit(0)).alias("bad"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geosieve.config import Detection, Imagery
 from geosieve.functions import boxes, geo
 from geosieve.operators import checks
-from geosieve.operators.candidates import dedup_candidates, far_filter
+from geosieve.operators.candidates import far_filter, merge_candidates
 from geosieve.operators.nearest import nearest_site
 from geosieve.operators.spread import materialize, skew_join
 from geosieve.sources import writers
@@ -20,10 +20,17 @@ PATCH_NEEDED = ["zone_id", "image", "row", "col", "zoom", "world_left", "world_t
 
 
 def locate_boxes(detections: DataFrame, patches: DataFrame, cfg: Imagery | None = None) -> DataFrame:
-    """Join boxes to their patches and place every box centre on the map."""
+    """Join boxes to their patches and place every box centre on the map.
+
+    Boxes whose patch is missing are refused, with their number.
+    """
     cfg = cfg or Imagery()
     checks.require_columns(patches, PATCH_NEEDED)
     spots = patches.select(*PATCH_NEEDED)
+    images = detections.groupBy("zone_id", "image").agg(F.count(F.lit(1)).alias("n"))
+    lost = images.join(spots, ["zone_id", "image"], "left_anti").agg(F.sum("n")).first()[0]
+    if lost:
+        raise ValueError(f"{lost} boxes lie on no known patch")
     joined = skew_join(
         detections, spots, ["zone_id", "image"], spread=["zone_id", "detection_id"]
     )
@@ -56,6 +63,7 @@ class AreaRun:
     detections: DataFrame
     far: DataFrame
     candidates: DataFrame
+    members: DataFrame
     summary: DataFrame
 
 
@@ -74,11 +82,11 @@ def run_zones(
     located = attach_sites(locate_boxes(strong, patches, imagery), sites)
     located = materialize(located, "detections")
     far = far_filter(located, settings.min_distance_m)
-    candidates = dedup_candidates(far, settings.dedup_distance_m, per_zone=True)
+    candidates, members = merge_candidates(far, settings.dedup_distance_m, per_zone=True)
     if map_url:
         candidates = candidates.withColumn("map_url", geo.map_link(map_url, "latitude", "longitude"))
     candidates = materialize(candidates, "candidates")
-    return AreaRun(located, far, candidates, summarise(patches, located, far, candidates, settings))
+    return AreaRun(located, far, candidates, members, summarise(patches, located, far, candidates, settings))
 
 
 def summarise(
@@ -108,6 +116,7 @@ def write_run(run: AreaRun, folder: str) -> None:
     writers.write_csv(run.detections, f"{folder}/detections")
     writers.write_csv(run.far, f"{folder}/detections_hors_correspondance_anfr")
     writers.write_csv(flat, f"{folder}/candidats_uniques")
+    writers.write_csv(run.members, f"{folder}/membres_candidats")
     writers.write_geojson_lines(
         run.candidates, f"{folder}/candidats_geojson",
         ["candidate_id", "zone_id", "confidence", "nearest_ANFR_distance_m"],

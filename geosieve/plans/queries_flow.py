@@ -245,10 +245,10 @@ def station_counts(t):
 @query("catalogue_kpis", """
 select count(*) as sites, count(distinct n_name) as types, count(*) as located, count(*) filter (where sel) as selected,
  count(*) filter (where sel) as selected_located, count(distinct case when sel then n_name end) as selected_types
-from (select s.*, n.n_name, n.n_name in ('FRANCE','JAPAN','PERU') and regexp_matches(s.sup_id, '4') as sel from sites s join nation n on n.n_nationkey = s.nature_id) q
+from (select s.*, n.n_name, n.n_name in ('NATION_3','NATION_9','NATION_12') and regexp_matches(s.sup_id, '4') as sel from sites s join nation n on n.n_nationkey = s.nature_id) q
 """)
 def catalogue_kpis(t):
-    return cat.kpis(cat.harmonise(t.catalogue), ["FRANCE", "JAPAN", "PERU"], "4")
+    return cat.kpis(cat.harmonise(t.catalogue), ["NATION_3", "NATION_9", "NATION_12"], "4")
 
 
 TYPED = "select case when c_custkey % 13 = 0 then null else n_name end as type from customer join nation on n_nationkey = c_nationkey"
@@ -439,9 +439,9 @@ def detection_ap(t):
     return df.select(*[F.round(c, 9).alias(c) for c in df.columns])
 
 
-@query("experiment_compare", "select case experiment when 'part 1' then 'Premier' else experiment end as label, map50 from experiments where evaluation_split = 'Brand#1'")
+@query("experiment_compare", "select case experiment when 'small ring' then 'Premier' else experiment end as label, map50 from experiments where evaluation_split = 'Brand#1'")
 def experiment_compare(t):
-    df = review.compare_experiments(t.experiments, "Brand#1", {"part 1": "Premier"})
+    df = review.compare_experiments(t.experiments, "Brand#1", {"small ring": "Premier"})
     return df.select("label", "map50")
 
 
@@ -525,11 +525,11 @@ def sort_sites(t):
 
 
 @query("seeded_sample", """
-select s.sup_id from sites s join nation n on n.n_nationkey = s.nature_id where n.n_name not in ('FRANCE','CHINA')
+select s.sup_id from sites s join nation n on n.n_nationkey = s.nature_id where n.n_name not in ('NATION_3','NATION_7')
 order by md5(concat('42-', s.sup_id)), s.sup_id limit 100
 """)
 def seeded_sample(t):
-    drawn = sampling.select_sites(t.catalogue, 100, 42, ["FRANCE", "CHINA"])
+    drawn = sampling.select_sites(t.catalogue, 100, 42, ["NATION_3", "NATION_7"])
     return drawn.select(F.col("SUP_ID").alias("sup_id"))
 
 
@@ -565,6 +565,32 @@ def dedup_candidates(t):
                      F.round("cluster_max_distance_anfr_m", 3).alias("cluster_max_distance"))
 
 
+@query("cluster_members", f"""with recursive {COMPONENTS} select f.zone_id, f.detection_id,
+ count(*) over (partition by c.component) as n, min(f.detection_id) over (partition by c.component) as first
+ from far f join comp c on c.id = f.detection_id""")
+def cluster_members(t):
+    _, members = cand.merge_candidates(cand.far_filter(located(t)))
+    sizes = members.groupBy("zone_id", "root").agg(F.count(F.lit(1)).alias("n"), F.min("detection_id").alias("first"))
+    return members.join(sizes, ["zone_id", "root"]).select("zone_id", "detection_id", "n", "first")
+
+
+LOOSE = """select detection_id, case when detection_id % 7 = 0 then null else zone_id end as zone_id,
+ case when detection_id % 5 = 0 then cast('NaN' as double) else confidence end as confidence,
+ case when detection_id % 11 = 0 then null else round(latitude, 3) end as latitude, round(longitude, 3) as longitude, 200e0 as distance from detections"""
+
+
+@query("dedup_incomplete", f"""with x as ({LOOSE}),
+c as (select *, case when isnan(confidence) then null else confidence end as conf,
+ coalesce('=' || zone_id, '') || '|' || coalesce(cast(latitude as varchar) || '|' || cast(longitude as varchar), 'none ' || detection_id) as spot from x),
+r as (select *, row_number() over (partition by spot order by conf desc nulls last, detection_id) as rn, count(*) over (partition by spot) as n from c)
+select zone_id, detection_id, n as detections_in_cluster, conf as confidence from r where rn = 1""")
+def dedup_incomplete(t):
+    df = t.sql(LOOSE).withColumnRenamed("distance", "nearest_ANFR_distance_m")
+    df = cand.dedup_candidates(df, 1.0)
+    confidence = F.nanvl(F.col("confidence"), F.lit(None))
+    return df.select("zone_id", "detection_id", "detections_in_cluster", confidence.alias("confidence"))
+
+
 @query("build_candidates", f"with recursive {CLUSTERS} {CANDIDATE_SQL}")
 def build_candidates(t):
     _, unique = cand.build_candidates(located(t))

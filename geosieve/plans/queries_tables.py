@@ -369,10 +369,10 @@ def unique_key_check(t):
 NATURES = "select c_custkey, case when c_custkey % 9 = 0 then null else n_name end as nature from customer join nation on n_nationkey = c_nationkey"
 
 
-@query("nature_exclusion", f"with x as ({NATURES}) select * from x where nature is null or nature not in ('FRANCE', 'CHINA', 'PERU')")
+@query("nature_exclusion", f"with x as ({NATURES}) select * from x where nature is null or nature not in ('NATION_3', 'NATION_7', 'NATION_12')")
 def nature_exclusion(t):
     df = t.sql(NATURES).withColumnRenamed("nature", "NAT_LB_NOM")
-    return cat.exclude_natures(df, ["FRANCE", "CHINA", "PERU"]).withColumnRenamed("NAT_LB_NOM", "nature")
+    return cat.exclude_natures(df, ["NATION_3", "NATION_7", "NATION_12"]).withColumnRenamed("NAT_LB_NOM", "nature")
 
 
 DISTANCES = """
@@ -414,9 +414,9 @@ def bbox_check(t):
     return checks.count_violations(t.annotations, {"box": checks.bad_box(600)})
 
 
-@query("type_filter", "select s.sup_id, n.n_name as type from sites s join nation n on n.n_nationkey = s.nature_id where n.n_name in ('FRANCE','JAPAN')")
+@query("type_filter", "select s.sup_id, n.n_name as type from sites s join nation n on n.n_nationkey = s.nature_id where n.n_name in ('NATION_3','NATION_9')")
 def type_filter(t):
-    return cat.of_types(cat.harmonise(t.catalogue), ["FRANCE", "JAPAN"]).select(
+    return cat.of_types(cat.harmonise(t.catalogue), ["NATION_3", "NATION_9"]).select(
         F.col("SUP_ID").alias("sup_id"), F.col("TYPE").alias("type"))
 
 

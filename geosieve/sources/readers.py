@@ -48,18 +48,24 @@ def _columns(line: str, sep: str) -> list[str]:
 
 
 def _as_text(
-    spark: SparkSession, path: str, sep: str, encoding: str, columns: list[str]
+    spark: SparkSession, path: str, sep: str, encoding: str, columns: list[str],
+    multi_line: bool = False,
 ) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.schema(schema).option("header", True).option("sep", sep)
     reader = reader.option("encoding", encoding).option("enforceSchema", True)
-    return reader.option("escape", '"').option("multiLine", False).csv(path)
+    return reader.option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, *, order: bool = False) -> DataFrame:
-    """Comma CSV with a header; ids stay text and known numeric columns are numbers."""
+def read_csv(
+    spark: SparkSession, path: str, *, order: bool = False, multi_line: bool = False
+) -> DataFrame:
+    """Comma CSV with a header; ids stay text and known numeric columns are numbers.
+
+    ``multi_line`` is for files with line breaks inside quotes; each is then read by one task.
+    """
     columns = _columns(first_line(spark, path), ",")
-    df = _as_text(spark, path, ",", "UTF-8", columns)
+    df = _as_text(spark, path, ",", "UTF-8", columns, multi_line)
     if order:
         df = with_row_order(df)
     numbers = {c: to_number(c) for c in columns if c in DOUBLES}
@@ -77,19 +83,21 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
     return raw.filter(~F.is_valid_utf8(F.encode("line", "ISO-8859-1"))).isEmpty()
 
 
-def read_semicolon(spark: SparkSession, path: str, *, order: bool = True) -> DataFrame:
+def read_semicolon(
+    spark: SparkSession, path: str, *, order: bool = True, multi_line: bool = False
+) -> DataFrame:
     """Semicolon export in UTF-8, with or without byte order mark, or in Latin-1."""
     encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
     columns = _columns(first_line(spark, path, encoding), ";")
-    df = _as_text(spark, path, ";", encoding, columns)
+    df = _as_text(spark, path, ";", encoding, columns, multi_line)
     return with_row_order(df) if order else df
 
 
-def read_any_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_any_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """All-text CSV whose separator, comma or semicolon, is told from the header."""
     line = first_line(spark, path)
     sep = ";" if line.count(";") > line.count(",") else ","
-    return _as_text(spark, path, sep, "UTF-8", _columns(line, sep))
+    return _as_text(spark, path, sep, "UTF-8", _columns(line, sep), multi_line)
 
 
 def read_tagged(spark: SparkSession, paths: list[str], name: str = "source") -> DataFrame:

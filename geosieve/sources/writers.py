@@ -25,8 +25,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """The one-row run summary as a JSON document."""
-    summary.coalesce(1).write.mode("overwrite").json(path)
+    """The run summary as JSON lines, one per zone, in as many files as its rows come from."""
+    summary.write.mode("overwrite").json(path)
 
 
 def feature(properties: list[str], lat: str = "latitude", lon: str = "longitude") -> Column:
@@ -51,17 +51,17 @@ def write_geojson_lines(df: DataFrame, path: str, properties: list[str]) -> None
 def detection_documents(
     detections: DataFrame, columns: list[str], order: str,
     image_size_m: float = 100.0, pixels: tuple[int, int] | None = (1024, 1024),
-    chunk: int = 10_000,
+    chunk: int | None = None,
 ) -> DataFrame:
     """JSON payload of every image's detections, in confidence order.
 
-    A payload holds at most ``chunk`` detections; an image with more gets numbered
-    further documents, so no image is gathered whole in one task.
+    One payload per image; with ``chunk`` a payload holds at most so many detections and an image
+    with more gets numbered further documents, so that no image is gathered whole in one task.
     """
     numbered = rank_rows(
         detections, [F.col("confidence").desc(), F.col(order).asc()], within=["image"], name="_no"
     )
-    part = F.floor((F.col("_no") - 1) / chunk).cast("int").alias("part")
+    part = (F.floor((F.col("_no") - 1) / chunk).cast("int") if chunk else F.lit(0)).alias("part")
     item = F.struct("_no", F.struct(*columns).alias("d"))
     packed = numbered.groupBy("image", part).agg(F.array_sort(F.collect_list(item)).alias("list"))
     size = F.array(*[F.lit(p) for p in pixels]) if pixels else F.lit(None).cast("array<int>")

@@ -11,8 +11,8 @@ def make(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-FOUR = [(1, "A", 0.4, 48.0, 2.0, 160.0), (2, "A", 0.8, 48.00005, 2.00005, 165.0),
-        (3, "A", 0.9, 48.01, 2.01, 80.0), (4, "B", 0.5, 48.00005, 2.00005, 170.0)]
+FOUR = [(11, "N", 0.35, 45.2, 5.7, 420.0), (12, "N", 0.62, 45.20008, 5.70003, 431.5),
+        (13, "N", 0.95, 45.3, 5.9, 12.0), (14, "S", 0.21, 45.20008, 5.70003, 299.0)]
 
 
 def test_filter_and_merge(spark):
@@ -20,8 +20,8 @@ def test_filter_and_merge(spark):
     assert far.count() == 3
     rows = unique.orderBy("candidate_id").collect()
     assert [(r.detection_id, r.candidate_id, r.detections_in_cluster, r.cluster_detection_ids) for r in rows] == [
-        (2, "C001", 2, "1,2"), (4, "C002", 1, "4")]
-    assert rows[0].cluster_max_distance_anfr_m == 165.0 and rows[0].cluster_max_confidence == 0.8
+        (12, "C001", 2, "11,12"), (14, "C002", 1, "14")]
+    assert rows[0].cluster_max_distance_anfr_m == 431.5 and rows[0].cluster_max_confidence == 0.62
 
 
 def test_result_does_not_depend_on_partitions(spark):
@@ -69,22 +69,27 @@ def test_merging_twice_changes_nothing(spark):
 
 
 def test_no_far_detection_gives_an_empty_table(spark):
-    unique = cand.dedup_candidates(make(spark, FOUR).filter("detection_id > 9"))
+    unique = cand.dedup_candidates(make(spark, FOUR).filter("detection_id > 99"))
     assert unique.count() == 0 and "candidate_id" in unique.columns
 
 
-def test_large_clusters_list_their_members_as_rows(spark):
+def test_clusters_of_any_size_list_their_members(spark):
     rows = [(i, "A", 0.5, 48.0, 2.0 + i * 1e-7, 200.0) for i in range(20)] + [(50, "A", 0.5, 49.0, 2.0, 200.0)]
-    clusters = cand.cluster_detections(make(spark, rows))
-    table = {r.detections_in_cluster: r for r in cand.cluster_table(clusters, inline_ids=5).collect()}
-    assert table[20].cluster_detection_ids is None and table[1].cluster_detection_ids == "50"
-    members = clusters.members().groupBy("root").count().collect()
-    assert sorted(r["count"] for r in members) == [1, 20]
+    table, members = cand.merge_candidates(make(spark, rows))
+    lists = {r.detections_in_cluster: r.cluster_detection_ids for r in table.collect()}
+    assert lists == {20: ",".join(map(str, range(20))), 1: "50"}
+    assert sorted(r["count"] for r in members.groupBy("root").count().collect()) == [1, 20]
 
 
+def test_incomplete_detections_stay(spark):
+    rows = [(1, "A", 0.5, None, 2.0, 200.0), (2, "A", float("nan"), 44.0, 2.0, 200.0), (3, "A", 0.1, 44.0, 2.0, 210.0),
+            (4, None, 0.2, 44.0, 2.0, 200.0), (5, None, 0.3, 44.0, 2.0, 200.0), (6, None, None, None, None, 200.0)]
+    got = sorted((r.detection_id, r.zone_id, r.cluster_detection_ids) for r in cand.dedup_candidates(make(spark, rows)).collect())
+    assert got == [(1, "A", "1"), (3, "A", "2,3"), (5, None, "4,5"), (6, None, "6")]
+
 def test_numbers_restart_per_zone_when_asked(spark):
     unique = cand.dedup_candidates(cand.far_filter(make(spark, FOUR)), per_zone=True)
-    assert {r.zone_id: r.candidate_id for r in unique.collect()} == {"A": "C001", "B": "C001"}
+    assert {r.zone_id: r.candidate_id for r in unique.collect()} == {"N": "C001", "S": "C001"}
 
 
 def test_review_ids(spark):

@@ -113,18 +113,18 @@ def test_suppression(spark, limit):
 
 
 def test_annotation_checks(spark):
-    rows = [("1", "a.jpg", " visible ", 100.0, 200.0, 300.0, 400.0), ("2", "b.jpg", "non_visible", *(None,) * 4),
-            ("3", "c.jpg", "ambigu", *(None,) * 4)]
+    rows = [("81", "p.jpg", " visible ", 256.0, 128.0, 512.0, 640.0), ("82", "q.jpg", "non_visible", *(None,) * 4),
+            ("83", "r.jpg", "ambigu", *(None,) * 4)]
     df = spark.createDataFrame(rows, TRUTH).withColumn("split", F.lit("train"))
     labels = {r.SUP_ID: (r.label_file, r.label) for r in ann.human_labels(df).collect()}
-    assert labels == {"1": ("a.txt", "0 0.19531250 0.29296875 0.19531250 0.19531250\n"), "2": ("b.txt", "")}
+    assert labels == {"81": ("p.txt", "0 0.37500000 0.37500000 0.25000000 0.50000000\n"), "82": ("q.txt", "")}
     counts = ann.human_label_counts(df).first()
     assert (counts.total_reviewed, counts.usable, counts.ambiguous_excluded) == (3, 2, 1)
-    again = df.union(df.filter("SUP_ID = '2'").withColumn("split", F.lit("val")))
+    again = df.union(df.filter("SUP_ID = '82'").withColumn("split", F.lit("val")))
     with pytest.raises(ValueError, match="two splits"):
         ann.human_labels(again)
     with pytest.raises(ValueError, match="repeated"):
-        ann.human_labels(df.union(df.filter("SUP_ID = '2'")))
+        ann.human_labels(df.union(df.filter("SUP_ID = '82'")))
     with pytest.raises(ValueError, match="box"):
         ann.human_labels(df.withColumn("x2", F.lit(5000.0)))
     with pytest.raises(ValueError, match="status"):
