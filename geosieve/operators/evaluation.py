@@ -7,6 +7,8 @@ aggregation: hot images are combined map-side, never gathered.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,8 +231,8 @@ def box_nms(
     box beats are kept, and all open boxes they overlap are dropped. Per round a
     box meets at most one kept box per cell around, so crowds are never paired.
     """
-    if not 0.25 <= iou < 1:
-        raise ValueError("iou must be at least 0.25 and below 1")
+    if not 0 < iou < 1:
+        raise ValueError("iou must be above 0 and below 1")
     corners = list(boxes.CORNERS)
     # Copies of one box: all but the strongest are certain to go.
     first = F.min(F.struct((-F.col("confidence")).alias("c"), F.col(unique).alias("u"))).alias("k")
@@ -246,11 +248,12 @@ def box_nms(
         "cy": F.floor((F.col("y1") + F.col("y2")) / F.pow(F.lit(2.0), "bh")).cast("long"),
     })
     cell = [group, "bw", "bh", "cx", "cy"]
-    # A box without area overlaps nothing and always stays.
+    # A box without area, or with a corner missing, overlaps nothing and always stays.
     has_area = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    kept = boxes_df.filter(~has_area).select(unique)
+    kept = boxes_df.filter(~F.coalesce(has_area, F.lit(False))).select(unique)
     work, seen = materialize_with(open_boxes, "open")
-    reach = 2 if iou >= 0.5 else 3
+    # Sides of overlapping boxes differ by a factor of at most 1 / iou.
+    reach = math.ceil(-math.log2(iou)) + 1
     rank = F.struct((-F.col("confidence")).alias("c"), F.col(unique).alias("u"))
     shape = [*corners, "w", "h"]
 

@@ -732,7 +732,21 @@ def result_checks(t):
     ])
 
 
-@query("box_nms")
+@query("box_nms", """
+with recursive r as (select *, row_number() over (partition by image order by confidence desc, pred_id) as k from predictions),
+nms(image, k, kept) as (
+ select image, cast(0 as bigint), [] :: struct(id bigint, x1 double, y1 double, x2 double, y2 double)[] from (select distinct image from r)
+ union all
+ select r.image, r.k, case when len([b for b in kept if
+   greatest(0e0, least(b.x2, r.x2) - greatest(b.x1, r.x1)) * greatest(0e0, least(b.y2, r.y2) - greatest(b.y1, r.y1))
+   > 0.5e0 * ((b.x2 - b.x1) * (b.y2 - b.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)
+    - greatest(0e0, least(b.x2, r.x2) - greatest(b.x1, r.x1)) * greatest(0e0, least(b.y2, r.y2) - greatest(b.y1, r.y1)))]) > 0
+  then kept else list_append(kept, {'id': r.pred_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}) end
+ from nms join r on r.image = nms.image and r.k = nms.k + 1),
+done as (select image, kept, row_number() over (partition by image order by k desc) as last from nms)
+select p.pred_id, p.image, round(p.confidence, 6) as confidence from predictions p
+join (select unnest([b.id for b in kept]) as id from done where last = 1) w on w.id = p.pred_id
+""")
 def box_nms(t):
     kept = evaluation.box_nms(t.predictions)
     return kept.select("pred_id", "image", F.round("confidence", 6).alias("confidence"))

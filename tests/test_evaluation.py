@@ -99,7 +99,7 @@ def brute_nms(preds, limit):
     return {p[0] for p in kept}
 
 
-@pytest.mark.parametrize("limit", [0.5, 0.3])
+@pytest.mark.parametrize("limit", [0.5, 0.3, 0.15])
 def test_suppression(spark, limit):
     rng = random.Random(4)
     preds = []
@@ -108,8 +108,8 @@ def test_suppression(spark, limit):
         preds.append((k, f"i{k % 2}", round(rng.random(), 2), x, y, x + w, y + h))
     preds += [(200 + k, "i0", 0.5, *preds[0][3:]) for k in range(30)]
     preds += [(300, "i1", 0.1, 5.0, 5.0, 5.0, 9.0)]
-    df = spark.createDataFrame(preds, PRED)
-    assert {r.pred_id for r in ev.box_nms(df, limit).collect()} == brute_nms(preds, limit)
+    df = spark.createDataFrame(preds + [(400, "i1", 0.9, None, 5.0, 5.0, 9.0)], PRED)
+    assert {r.pred_id for r in ev.box_nms(df, limit).collect()} == brute_nms(preds, limit) | {400}
 
 
 def test_annotation_checks(spark):
