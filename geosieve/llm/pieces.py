@@ -33,7 +33,8 @@ from geosieve.llm.tables import map_arrow
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+NONE = -1e300
 UNKNOWN_COST = 10.0  # as in the public library
 
 
@@ -100,6 +101,9 @@ class Pieces:
         self.least = min((s for s, n in zip(scores, normal) if n), default=0.0) - UNKNOWN_COST
         own = {name.encode(): i for i, name in enumerate(names) if normal[i]}
         self.trie = Trie(own)
+        self.single = {word for word in own if len(word.decode()) == 1}
+        self.size = [len(name.encode()) for name in names]
+        self.gain = [scores[i] if i >= 0 else 2 * NONE for i in self.trie.value]
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", n) for n, ok in zip(names, normal) if ok)
         self.bytes = [name.replace(MARK, " ").encode() if ok else b"" for name, ok in zip(names, normal)]
         for value, i in byte.items():
@@ -109,41 +113,43 @@ class Pieces:
     def segment(self, text: str) -> list[int]:
         """Best pieces of ``text`` with markers for spaces; a literal marker arrives as U+FFFF."""
         data = text.encode("utf-8", "surrogatepass")
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
+        base, check, gain, single = self.trie.base, self.trie.check, self.gain, self.single
         n = len(data)
-        best, back = [-1e300] * (n + 1), [(0, -1)] * (n + 1)
+        best, back = [NONE] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for start in range(n):
             here = best[start]
-            if here <= -1e299:
+            if here == NONE:
                 continue
-            first = data[start]
-            width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-            node, at, whole = 0, start, False
-            while at < n:
-                nxt = base[node] + data[at]
-                if check[nxt] != node or nxt == 0:
+            node, at = 0, start
+            for byte in data[start:]:
+                nxt = base[node] + byte
+                if check[nxt] != node:
                     break
                 node, at = nxt, at + 1
-                piece = value[node]
-                if piece >= 0:
-                    if at == start + width:
-                        whole = True
-                    got = here + scores[piece]
-                    if got > best[at]:
-                        best[at], back[at] = got, (start, piece)
-            if not whole and here + self.least > best[start + width]:
-                best[start + width], back[start + width] = here + self.least, (start, -1)
+                got = here + gain[node]
+                if got > best[at]:
+                    best[at], back[at] = got, node
+            first = data[start]
+            width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            if here + self.least > best[start + width] and data[start:start + width] not in single:
+                best[start + width], back[start + width] = here + self.least, -1
         out, at = [], n
+        value, size = self.trie.value, self.size
         while at:
-            start, piece = back[at]
-            if piece >= 0:
+            node = back[at]
+            if node >= 0:
+                piece = value[node]
                 out.append(piece)
+                at -= size[piece]
             else:
+                start = at - 1
+                while data[start] & 0xC0 == 0x80:
+                    start -= 1
                 raw = data[start:at]
                 raw = MARK.encode() if raw == b"\xef\xbf\xbf" else raw
                 out += [self.byte[b] for b in reversed(raw)]
-            at = start
+                at = start
         return out[::-1]
 
     def _marked(self, word: str) -> bytes:
@@ -228,7 +234,10 @@ def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded",
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [None if t is None else own.decode(t) for t in part.column(tokens_col).to_pylist()]
+                tokens = part.column(tokens_col)
+                ends, ids = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+                texts = [own.decode(ids[a:b].tolist()) if ok else None
+                         for a, b, ok in zip(ends[:-1], ends[1:], tokens.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     schema = T.StructType([*(f for f in df.schema if f.name != out_col), T.StructField(out_col, T.StringType())])
