@@ -56,9 +56,8 @@ def materialize_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataF
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether ``df`` has few enough rows to broadcast, by counting up to the limit."""
-    rows = BROADCAST_ROWS if rows is None else rows
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has few enough rows to broadcast, by a count that every partition shares."""
+    return df.count() <= (BROADCAST_ROWS if rows is None else rows)
 
 
 def hot_keys(counts: DataFrame, on: list[str], hot_rows: int | None = None) -> DataFrame:
@@ -93,14 +92,16 @@ def skew_join(
         return left.join(F.broadcast(right), on, how)
     if counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(hot_keys(counts, on, hot_rows), "hot")
-    if hot.isEmpty():
+    hot, seen = materialize_with(hot_keys(counts, on, hot_rows), "hot")
+    if not seen["rows"]:
         return left.join(right, on, how)
+    # Hot keys are few by their definition; the count makes sure before they are broadcast.
+    few = F.broadcast(hot) if seen["rows"] <= BROADCAST_ROWS else hot
     part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")
     parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
-    cut = left.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_parts")
+    cut = left.join(few, on, "left").withColumn("_part", part).drop("_parts")
     copies = (
-        right.join(F.broadcast(hot), on, "left")
+        right.join(few, on, "left")
         .withColumn("_part", F.explode(parts))
         .drop("_parts")
     )

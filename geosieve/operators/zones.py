@@ -10,7 +10,7 @@ from geosieve.functions import geo, text
 from geosieve.operators import checks
 from geosieve.operators.cells import Metric
 from geosieve.operators.proximity import count_within
-from geosieve.operators.spread import materialize, skew_join
+from geosieve.operators.spread import materialize, materialize_with, skew_join
 
 
 def with_planar(sites: DataFrame) -> DataFrame:
@@ -23,10 +23,17 @@ def with_planar(sites: DataFrame) -> DataFrame:
 
 
 def density_counts(sites: DataFrame, radius_m: float = 500.0, name: str = "density") -> DataFrame:
-    """Sites within the radius of each site, itself included, by planar distance."""
+    """Sites within the radius of each site, itself included, by planar distance.
+
+    Sites without a position are refused, with their number.
+    """
     if radius_m <= 0:
         raise ValueError("radius_m must be positive")
     checks.require_columns(sites, ["SUP_ID", "latitude", "longitude"])
+    sites = sites.withColumns(text.numbers(sites, ["latitude", "longitude"]))
+    lost = sites.filter(F.col("latitude").isNull() | F.col("longitude").isNull()).count()
+    if lost:
+        raise ValueError(f"{lost} sites have no position")
     flat = with_planar(sites).withColumnsRenamed({"x_m": "x", "y_m": "y"})
     flat = materialize(flat, "planar")
     counted = count_within(flat, "SUP_ID", Metric(radius_m, flat=True), name=name)
@@ -61,7 +68,9 @@ def contrasting_zones(
     located = sites.withColumns(text.numbers(sites, ["latitude", "longitude"]))
     located = located.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     thin = located.select(F.col("SUP_ID").cast("string").alias("SUP_ID"), "latitude", "longitude")
-    counts = materialize(density_counts(thin, radius_m), "density")
+    counts, seen = materialize_with(density_counts(thin, radius_m), "density")
+    if seen["rows"] < 3:
+        raise ValueError(f"three zones need at least three located sites, not {seen['rows']}")
     row = F.struct("SUP_ID", "latitude", "longitude", "density")
 
     def first_by(frame: DataFrame, *order):

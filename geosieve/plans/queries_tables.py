@@ -484,6 +484,15 @@ def missing_files(t):
     return ann.missing_files(manifest, listed, "file").select("sup_id", "image")
 
 
+SIZES = """select concat('in/', cast(event_id as varchar(20)), '.png') as path, case when event_id % 7 = 0 then 512 else 1024 end as width,
+ case when event_id % 11 = 0 then 1000 else 1024 end as height from events"""
+
+
+@query("wrong_image_size", f"with x as ({SIZES}) select * from x where width <> 1024 or height <> 1024")
+def wrong_image_size(t):
+    return ann.wrong_image_size(t.sql(SIZES))
+
+
 # ---- row-local geometry and boxes ----------------------------------------------
 
 @query("dms_to_decimal", """

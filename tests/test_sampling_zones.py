@@ -5,6 +5,7 @@ import pytest
 from brute import components, haversine
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from geosieve.config import Imagery
 from geosieve.operators import sampling, zones
@@ -119,6 +120,10 @@ def test_density_and_zones(spark):
                       ("peu_dense", sparse[0], sparse[2])]
     with pytest.raises(ValueError, match="far enough"):
         zones.contrasting_zones(df, separation_m=1e6)
+    with pytest.raises(ValueError, match="three located sites"):
+        zones.contrasting_zones(df.limit(2))
+    with pytest.raises(ValueError, match="1 sites have no position"):
+        zones.density_counts(df.union(df.limit(1).withColumn("latitude", F.lit(None).cast("double"))))
 
 
 def test_patches_follow_half_even_and_tile(spark):
