@@ -25,7 +25,6 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geosieve.llm.arrays import pieces as cut
@@ -33,7 +32,7 @@ from geosieve.llm.tables import map_arrow
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NONE = -1e300
 UNKNOWN_COST = 10.0  # as in the public library
 
@@ -207,6 +206,19 @@ def _share(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load(path))
 
 
+def _token_lists(own: Pieces, texts: list[str | None]) -> pa.ListArray:
+    ids = [own.encode(t or "") for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    mask = pa.array([t is None for t in texts])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=mask)
+
+
+def _texts(own: Pieces, tokens: pa.ListArray) -> list[str | None]:
+    ends, ids = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+    return [own.decode(ids[a:b].tolist()) if ok else None
+            for a, b, ok in zip(ends[:-1], ends[1:], tokens.is_valid().to_pylist())]
+
+
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "tokens", model: str = MODEL) -> DataFrame:
     """``df`` with the token ids of ``text_col`` in ``out_col``."""
     shared = _share(df.sparkSession, model)
@@ -214,11 +226,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "tokens", model
     def work(batches):
         own = shared.value
         for piece in cut(batches, text_col):
-            texts = piece.column(text_col).to_pylist()
-            ids = [own.encode(t or "") for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            mask = pa.array([t is None for t in texts])
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=mask)
+            tokens = _token_lists(own, piece.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*piece.columns, tokens], names=[*piece.schema.names, out_col])
 
     schema = T.StructType([*(f for f in df.schema if f.name != out_col), T.StructField(out_col, T.ArrayType(T.IntegerType()))])
@@ -234,10 +242,7 @@ def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded",
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                tokens = part.column(tokens_col)
-                ends, ids = tokens.offsets.to_numpy(), tokens.values.to_numpy()
-                texts = [own.decode(ids[a:b].tolist()) if ok else None
-                         for a, b, ok in zip(ends[:-1], ends[1:], tokens.is_valid().to_pylist())]
+                texts = _texts(own, part.column(tokens_col))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     schema = T.StructType([*(f for f in df.schema if f.name != out_col), T.StructField(out_col, T.StringType())])
@@ -246,6 +251,21 @@ def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded",
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(id, n_tokens, tokens, decoded, same) of each row; ``same``: decoding gave the text back."""
-    out = decode(encode(docs.select(id_col, text_col), text_col, "tokens", model), "tokens", "decoded", model)
-    return out.select(id_col, F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), "tokens", "decoded",
-                      F.col("decoded").eqNullSafe(F.col(text_col)).alias("same"))
+    shared = _share(docs.sparkSession, model)
+
+    def work(batches):
+        own = shared.value
+        for piece in cut(batches, text_col):
+            texts = piece.column(text_col).to_pylist()
+            tokens = _token_lists(own, texts)
+            decoded = _texts(own, tokens)
+            sizes = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(id_col), pa.array(sizes), tokens, pa.array(decoded, pa.string()),
+                 pa.array([a == b for a, b in zip(texts, decoded)])],
+                names=["id", "n_tokens", "tokens", "decoded", "same"])
+
+    # One pass does both, so that a task needs one Python worker and one copy of the trie.
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_arrow(docs.select(id_col, text_col), work,
+                     f"id {kind}, n_tokens long, tokens array<int>, decoded string, same boolean").withColumnRenamed("id", id_col)

@@ -414,6 +414,8 @@ def test_segmentation_is_best_and_decodes(spark):
     rows = pieces.round_trip(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, tokens int")).collect()
     assert all(r["same"] and r["decoded"] == texts[r["doc_id"]] for r in rows)
     assert [r["tokens"] for r in rows if texts[r["doc_id"]] is None] == [None]
+    again = pieces.decode(pieces.encode(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: (r["tokens"], r["decoded"]) for r in again} == {r["doc_id"]: (r["tokens"], r["decoded"]) for r in rows}
 
 
 def test_double_array_finds_its_words():
