@@ -6,7 +6,7 @@ the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosieve.llm.decontaminate import contamination
@@ -22,6 +22,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64("text"))
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._key") == F.col(f"{b}._key"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters or too unlike every learned language."""
     train = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
@@ -31,17 +35,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies; documents without id stay."""
-    found = near_duplicates(docs, shingle=5, num=80, den=100)
-    gone = found.filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Leave one row of each group of near copies: that of the least id, a null id last.
+
+    Rows are told apart by id and text, so repeated and null ids are judged by their own texts, and of
+    rows equal in both one stays. Texts without words are copies of nothing and all stay.
+    """
+    rows = _numbered(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
+    pairs = rows.filter(F.col("text").rlike(r"[^ \t-\r]")).groupBy("_row", "doc_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    found = near_duplicates(rows, "_row", shingle=5, num=80, den=100).select("_row", "component_id").distinct()
+    placed = written(pairs.join(found, "_row"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_row")
+    first = placed.groupBy("component_id").agg(F.min(order).alias("least")).select("least.doc_id", "least._key", F.lit(True).alias("_first"))
+    marks = written(
+        placed.alias("a").join(first.alias("b"), _same("a", "b"), "left").filter("_first is null or _n > 1")
+        .select("a.doc_id", "a._key", F.coalesce("_first", F.lit(False)).alias("_first")), "copies")
+    alone = rows.alias("a").join(marks.alias("b"), _same("a", "b"), "left_anti").select(*docs.columns)
+    repeated = rows.alias("a").join(marks.filter("_first").alias("b"), _same("a", "b"), "left_semi")
+    one = repeated.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return alone.union(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which benchmark windows cover a twentieth or more."""
     found = contamination(docs, read(spark, sf_dir, "benchmark"))
     bad = found.filter("contaminated").select("doc_id", F.col("text_key").alias("_key")).distinct()
-    return _numbered(docs).join(bad, ["doc_id", "_key"], "left_anti").select(*docs.columns)
+    return _numbered(docs).alias("a").join(bad.alias("b"), _same("a", "b"), "left_anti").select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

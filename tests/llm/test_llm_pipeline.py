@@ -54,3 +54,22 @@ def test_personal_data_is_masked_and_the_rest_stays(steps):
 def test_tokens_decode_to_the_texts(steps):
     texts = {r["doc_id"]: r["text"] for r in steps[4]}
     assert {r["doc_id"]: r["decoded"] for r in steps[5]} == texts and all(r["same"] for r in steps[5])
+
+
+def test_near_copies_of_repeated_and_null_ids_leave_one_row_each(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    near = b + " more"
+    rows = [(2, a), (1, b), (2, b), (None, b), (3, near), (4, c), (4, c), (4, c), (None, a + " x y z" * 9), (None, a + " x y z" * 9),
+            (None, ""), (5, " "), (5, " "), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect()), key=str)
+    want = [(2, a), (1, b), (4, c), (None, a + " x y z" * 9), (None, ""), (5, " "), (5, " "), (6, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_contaminated_documents_without_id_go(spark):
+    item = max((r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()), key=len)
+    rows = [(None, item), (1, item), (None, "clean words only"), (1, "clean words only")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontaminate(spark, docs, FOLDER).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "clean words only"), (1, "clean words only")]
