@@ -7,12 +7,17 @@ piece covers costs the least score minus 10 and is written as its bytes. Decodin
 bytes, turns markers into spaces and drops the first one. Encoding never normalises, so decoding
 gives the text back: a literal U+2581 in a text is always written as bytes.
 
-The vocabulary is any SentencePiece model file (a parameter); its pieces and scores are used as they
-stand. If no piece holds a marker after another character, words are segmented one by one and a task
+The vocabulary is any SentencePiece model file (a parameter). Scores that are log-probabilities are used as
+they stand. A file of merge ranks (whole numbers, as of byte-pair encoding) has none, so ``estimate``
+learns them over all texts: distinct words are counted, and ``ROUNDS`` rounds of expectation-maximisation
+count how often each piece is expected over all segmentations of all words. A piece keeps its number;
+``PRIOR`` expected uses are added to each. If no piece holds a marker after another character, words are segmented one by one and a task
 remembers up to ``REMEMBERED`` of them; else a text is one segment.
 
-Scale: one scan, no shuffle; the trie (bounded by the vocabulary) is broadcast. Memory is bounded by
-one text and its tokens.
+Scale: encoding is one scan without shuffle; the trie (bounded by the vocabulary) is broadcast. To learn
+scores, one more scan counts words in each task before it shuffles the distinct ones, and each round
+reads them once; the driver holds one count a piece. Counts are whole numbers, so that the order of adding
+does not matter. Memory is bounded by one text, its tokens and ``REMEMBERED`` words.
 
 Defined results: a null text has null tokens and decodes to null; an empty text has no tokens; rows
 are encoded one by one, repeated or not; ids outside the vocabulary fail; other columns are kept.
@@ -20,21 +25,27 @@ are encoded one by one, repeated or not; ids outside the vocabulary fail; other
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geosieve.llm.arrays import pieces as cut
-from geosieve.llm.tables import map_arrow
+from geosieve.llm.tables import map_arrow, written
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 250_000
 NONE = -1e300
 UNKNOWN_COST = 10.0  # as in the public library
+LAST = -1e8  # scores below this only say that a piece is merged last
+ROUNDS, PRIOR = 4, 0.1
+UNIT = 1 << 20  # expected counts are added in units of 1 / UNIT
 
 
 class Trie:
@@ -95,20 +106,81 @@ class Pieces:
     """Pieces, their scores and the two directions."""
 
     def __init__(self, names: list[str], scores: list[float], normal: list[bool], byte: dict[int, int]):
-        self.scores = scores
-        self.byte = byte
-        self.least = min((s for s, n in zip(scores, normal) if n), default=0.0) - UNKNOWN_COST
+        self.normal, self.byte = normal, byte
         own = {name.encode(): i for i, name in enumerate(names) if normal[i]}
         self.trie = Trie(own)
         self.single = {word for word in own if len(word.decode()) == 1}
         self.size = [len(name.encode()) for name in names]
-        self.gain = [scores[i] if i >= 0 else 2 * NONE for i in self.trie.value]
+        self.score(scores)
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", n) for n, ok in zip(names, normal) if ok)
         self.bytes = [name.replace(MARK, " ").encode() if ok else b"" for name, ok in zip(names, normal)]
         for value, i in byte.items():
             self.bytes[i] = bytes([value])
         self.known: dict[str, bytes] = {}
 
+    def score(self, scores: list[float]) -> Pieces:
+        """Take ``scores`` for those of the pieces."""
+        self.scores, self.known = scores, {}
+        self.least = min((s for s, n in zip(scores, self.normal) if n and s > LAST), default=0.0) - UNKNOWN_COST
+        self.gain = [scores[i] if i >= 0 else 2 * NONE for i in self.trie.value]
+        return self
+
+    def ranked(self) -> bool:
+        """Whether the scores are merge ranks, not log-probabilities."""
+        return all(float(s).is_integer() for s, n in zip(self.scores, self.normal) if n)
+
+    def words(self, text: str) -> list[str]:
+        """The parts of a text that are segmented on their own."""
+        return re.findall(" *[^ ]+| +", " " + text) if self.by_word else [" " + text]
+
+    def expected(self, word: str) -> dict[int, float]:
+        """How often each piece is expected over all segmentations of ``word``."""
+        out: dict[int, float] = {}
+        for part in word.split("\uffff"):
+            if part:
+                self._expect(part.replace(MARK, "\uffff").replace(" ", MARK).encode("utf-8", "surrogatepass"), out)
+        return out
+
+    def _expect(self, data: bytes, out: dict[int, float]) -> None:
+        base, check, gain, value, single = self.trie.base, self.trie.check, self.gain, self.trie.value, self.single
+        n = len(data)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        edges: list[tuple[int, list[tuple[int, int, float]]]] = []
+        into[0].append(0.0)
+        ahead = [NONE] * (n + 1)
+        for start in range(n):
+            if not into[start]:
+                continue
+            top = max(into[start])
+            here = ahead[start] = top + math.log(sum([math.exp(x - top) for x in into[start]]))
+            own, node, at = [], 0, start
+            for byte in data[start:]:
+                nxt = base[node] + byte
+                if check[nxt] != node:
+                    break
+                node, at = nxt, at + 1
+                piece = value[node]
+                if piece >= 0:
+                    own.append((piece, at, gain[node]))
+                    into[at].append(here + gain[node])
+            first = data[start]
+            width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            if data[start:start + width] not in single:
+                own.append((-1, start + width, self.least))
+                into[start + width].append(here + self.least)
+            edges.append((start, own))
+        top = max(into[n])
+        whole = top + math.log(sum([math.exp(x - top) for x in into[n]]))
+        behind = [NONE] * (n + 1)
+        behind[n] = 0.0
+        for start, own in reversed(edges):
+            sums = [g + behind[at] for _, at, g in own]
+            top = max(sums)
+            behind[start] = top + math.log(sum([math.exp(x - top) for x in sums]))
+            for (piece, _, _), x in zip(own, sums):
+                if piece >= 0 and (share := ahead[start] + x - whole) > -30:
+                    out[piece] = out.get(piece, 0.0) + math.exp(share)
+
     def segment(self, text: str) -> list[int]:
         """Best pieces of ``text`` with markers for spaces; a literal marker arrives as U+FFFF."""
         data = text.encode("utf-8", "surrogatepass")
@@ -165,11 +237,10 @@ class Pieces:
         """Token ids of a text, as the bytes of 32-bit integers."""
         if not text:
             return b""
-        text = " " + text
         if not self.by_word:
-            return self._marked(text)
+            return self._marked(" " + text)
         known, out = self.known, []
-        for word in re.findall(" *[^ ]+| +", text):
+        for word in self.words(text):
             got = known.get(word)
             if got is None:
                 got = self._marked(word)
@@ -202,8 +273,72 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(names, [model.get_score(i) for i in range(n)], [not s for s in special], byte)
 
 
-def _share(spark: SparkSession, path: str):
-    return spark.sparkContext.broadcast(load(path))
+def word_counts(docs: DataFrame, text_col: str, own: Pieces) -> DataFrame:
+    """(word, n) of the distinct words of all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(own)
+
+    def batch(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([w.encode("utf-8", "surrogatepass") for w in found], pa.binary()),
+             pa.array(np.fromiter(found.values(), np.int64, len(found)))], names=["word", "n"])
+
+    def work(batches):
+        words, found = shared.value.words, Counter()
+        for piece in cut(batches, text_col):
+            for text in piece.column(text_col).to_pylist():
+                if text:
+                    found.update(words(text))
+                if len(found) >= REMEMBERED:
+                    yield batch(found)
+                    found = Counter()
+        yield batch(found)
+
+    # So many parts that every core has some, however few words there are.
+    parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    counted = map_arrow(docs.select(text_col), work, "word binary, n long")
+    return written(counted.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def estimate(docs: DataFrame, text_col: str = "text", model: str = MODEL, rounds: int = ROUNDS) -> Pieces:
+    """The pieces of ``model``; if it has merge ranks, with log-probabilities learned over all texts of ``docs``."""
+    own = load(model)
+    if not own.ranked():
+        return own
+    spark, normal = docs.sparkSession, np.array(own.normal)
+    counts = word_counts(docs, text_col, own)
+    # Merge ranks are ordered by use: the first guess gives rank r the weight 1 / r.
+    order = np.argsort([-s for s in own.scores], kind="stable")
+    weight = np.zeros(len(order))
+    weight[order] = 1 / np.arange(1, len(order) + 1)
+    for step in range(rounds + 1):
+        if step:
+            found = _expected(counts, spark.sparkContext.broadcast(own)).toArrow()
+            weight = np.zeros(len(order))
+            weight[found["piece"].to_numpy()] = found["n"].to_numpy().astype(np.float64) / UNIT
+            weight += PRIOR
+        weight[~normal] = 0
+        own.score(np.log(np.where(normal, weight, 1) / weight.sum()).tolist())
+    return own
+
+
+def _expected(counts: DataFrame, shared) -> DataFrame:
+    def work(batches):
+        own, total = shared.value, {}
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                for piece, times in own.expected(word.decode("utf-8", "surrogatepass")).items():
+                    total[piece] = total.get(piece, 0) + n * round(times * UNIT)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([str(n) for n in total.values()], pa.string())], names=["piece", "n"])
+
+    return map_arrow(counts, work, "piece int, n string").groupBy("piece").agg(
+        F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n"))
+
+
+def _share(df: DataFrame, path: str, text_col: str | None = None):
+    """The broadcast pieces, scored over the texts of ``df`` if the file has no log-probabilities."""
+    own = load(path) if text_col is None else estimate(df, text_col, path)
+    return df.sparkSession.sparkContext.broadcast(own)
 
 
 def _token_lists(own: Pieces, texts: list[str | None]) -> pa.ListArray:
@@ -221,7 +356,7 @@ def _texts(own: Pieces, tokens: pa.ListArray) -> list[str | None]:
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "tokens", model: str = MODEL) -> DataFrame:
     """``df`` with the token ids of ``text_col`` in ``out_col``."""
-    shared = _share(df.sparkSession, model)
+    shared = _share(df, model, text_col)
 
     def work(batches):
         own = shared.value
@@ -235,7 +370,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "tokens", model
 
 def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """``df`` with the text of ``tokens_col`` in ``out_col``."""
-    shared = _share(df.sparkSession, model)
+    shared = _share(df, model)
 
     def work(batches):
         own = shared.value
@@ -251,7 +386,7 @@ def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded",
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(id, n_tokens, tokens, decoded, same) of each row; ``same``: decoding gave the text back."""
-    shared = _share(docs.sparkSession, model)
+    shared = _share(docs, model, text_col)
 
     def work(batches):
         own = shared.value

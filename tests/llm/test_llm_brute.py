@@ -418,6 +418,43 @@ def test_segmentation_is_best_and_decodes(spark):
     assert {r["doc_id"]: (r["tokens"], r["decoded"]) for r in again} == {r["doc_id"]: (r["tokens"], r["decoded"]) for r in rows}
 
 
+@pytest.mark.skipif(not os.path.isfile(pieces.MODEL), reason="no vocabulary")
+def test_scores_are_learned_from_all_texts(spark):
+    texts = ["language model training data", "The government announced", "the model of the data", None, "", "a▁b ￿ 中 x  y"] * 20
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pieces.round_trip(docs).collect()}
+    assert [rows[i]["n_tokens"] for i in (0, 1, 2)] == [4, 3, 5] and all(r["same"] for r in rows.values())
+    own = pieces.estimate(docs)
+    assert abs(sum(math.exp(s) for s, ok in zip(own.scores, own.normal) if ok) - 1) < 1e-9
+    assert -40 < own.least < 0 and -1e6 < pieces.load().least and pieces.load().ranked() and not own.ranked()
+
+
+@pytest.mark.skipif(not os.path.isfile(pieces.MODEL), reason="no vocabulary")
+def test_expected_pieces_match_all_segmentations():
+    own = pieces.load()
+    rng = random.Random(4)
+    own.score([rng.uniform(-9, -1) for _ in own.scores])
+    names = {own.bytes[i].decode(): i for i in range(len(own.scores)) if own.normal[i]}
+
+    def splits(text):
+        if not text:
+            yield []
+        for end in range(1, len(text) + 1):
+            if text[:end] in names or end == 1:
+                yield from ([names.get(text[:end], -1), *rest] for rest in splits(text[end:]))
+
+    for word in (" the", "  and", "ations", " é😀n"):
+        ways = list(splits(word))
+        chances = [math.exp(sum(own.scores[i] if i >= 0 else own.least for i in w)) for w in ways]
+        want = {}
+        for w, c in zip(ways, chances):
+            for i in w:
+                if i >= 0:
+                    want[i] = want.get(i, 0) + c / sum(chances)
+        got = own.expected(word)
+        assert all(abs(got.get(i, 0) - n) < 1e-6 for i, n in want.items()) and set(got) <= set(want)
+
+
 def test_double_array_finds_its_words():
     rng = random.Random(5)
     words = {bytes(rng.choices(b"abc\xff", k=rng.randint(1, 6))): i for i, _ in enumerate(range(300))}
