@@ -6,7 +6,10 @@ discounted and interpolated with bigram continuation counts, those with unigram
 those with the uniform distribution. The trigrams of all languages stand in one array sorted by their
 hash, next to their log-probabilities in every language; a text's language is the one with the
 lowest cross-entropy per symbol. A text is rejected if it has no letter, or if its cross-entropy is
-beyond what training texts of that language and about that length reach, plus a margin.
+beyond the limit of its language and length, plus a margin. The limit is the 0.99999 quantile of the
+training texts of that language and about that length, carried on from their median and 0.95 quantile by
+an exponential tail, so that wrongly labelled texts (up to a twentieth) do not move it; it is drawn towards
+that of the language's texts of all lengths as ``PRIOR`` texts would do.
 
 Scale: counting is map-side combined and has at most 2**24 keys a language, which bounds the model
 that is sent to the tasks (one float per key and language), whatever the size of the corpus. Texts are
@@ -29,7 +32,8 @@ from geosieve.llm.tables import map_arrow, written
 
 GAP = "\n\n"
 SHARPNESS = 8.0  # of the score: languages weigh 2 ** (-SHARPNESS * bits per symbol)
-FEW = 100  # training texts of like length below which a language's limit over all lengths holds
+TAIL = float(np.log(0.5 / 1e-5) / np.log(0.5 / 0.05))  # from the median to the limit, in steps to the 0.95 quantile
+PRIOR = 20  # training texts for which a language's quantile over all lengths counts
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -194,9 +198,12 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     right = scored.filter("train and lang = lang_pred")
     # At most 64 length classes for each learned language.
     near = right.select("lang_pred", F.explode(F.array(*(F.col("length") + i for i in (-1, 0, 1)))).alias("length"), "bits")
-    limits = F.broadcast(near.groupBy("lang_pred", "length").agg(
-        F.when(F.count(F.lit(1)) >= FEW, F.max("bits")).alias("most")))
-    widest = F.broadcast(right.groupBy("lang_pred").agg(F.max("bits").alias("widest")))
-    return scored.join(limits, ["lang_pred", "length"], "left").join(widest, "lang_pred", "left").select(
+    ends = F.percentile_approx("bits", [0.5, 0.95], 10_000)
+    high = ends[0] + TAIL * (ends[1] - ends[0])
+    limits = F.broadcast(near.groupBy("lang_pred", "length").agg(F.count(F.lit(1)).alias("n"), high.alias("own")))
+    whole = F.broadcast(right.groupBy("lang_pred").agg(high.alias("all")))
+    n = F.coalesce("n", F.lit(0))
+    limit = (n * F.coalesce("own", F.lit(0.0)) + PRIOR * F.col("all")) / (n + PRIOR)
+    return scored.join(limits, ["lang_pred", "length"], "left").join(whole, "lang_pred", "left").select(
         F.col("id").alias(id_col), "train", "lang_pred", "score", "bits",
-        ((F.col("lang_pred") == "und") | F.coalesce(F.col("bits") > (1 + margin) * F.coalesce("most", "widest"), F.lit(False))).alias("rejected"))
+        ((F.col("lang_pred") == "und") | F.coalesce(F.col("bits") > (1 + margin) * limit, F.lit(False))).alias("rejected"))

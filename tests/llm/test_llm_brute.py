@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geosieve.llm import html as pages
 from geosieve.llm import langid, minhash, pieces, private, quality, registry, suffixes, vectors
@@ -189,6 +190,26 @@ def test_language_edge_cases(spark):
     assert [tuple(r) for r in none] == [("und", 0.0)]
 
 
+def test_junk_labels_do_not_open_the_limit(spark):
+    rng = random.Random(9)
+
+    def prose(syllables):
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(40))
+
+    def junk():
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=200))
+
+    rows = [(i, prose(["ka", "to", "mi", "sen", "ra"]), "a", True) for i in range(200)]
+    rows += [(200 + i, prose(["gle", "dor", "wu", "fis", "bal"]), "b", True) for i in range(60)]
+    rows += [(300 + i, junk(), "ab"[i % 2], True) for i in range(4)]
+    rows += [(400 + i, prose(["ka", "to", "mi", "sen", "ra"]), None, False) for i in range(20)]
+    rows += [(500 + i, junk(), None, False) for i in range(20)]
+    rows += [(600 + i, prose(["czy", "prz", "szc", "\u0142uj", "\u017cec"]), None, False) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, train boolean")
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(df, F.col("train")).collect()}
+    assert not any(got[i] for i in [*range(260), *range(400, 420)]) and all(got[i] for i in range(500, 520)) and all(got[i] for i in range(600, 620))
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     sizes = [1, 4, 3, 1]
