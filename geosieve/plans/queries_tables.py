@@ -100,6 +100,13 @@ def src_multi_tagged(t):
     )
 
 
+@query("src_csv_line_breaks", "select cast(doc_id as varchar) as doc_id, text, lang from documents")
+def src_csv_line_breaks(t):
+    path = scratch_path(t.spark, "breaks")
+    writers.write_csv(t.base("documents").select("doc_id", "text", "lang"), path)
+    return readers.read_csv(t.spark, path)
+
+
 SWEEP_CTE = """
 with usable as (select * from annotations where status <> 'ambigu'),
 th(threshold) as (values {values}),

@@ -43,14 +43,22 @@ def with_row_order(df: DataFrame) -> DataFrame:
     return df.select("*", place.alias("_row"))
 
 
+def breaks_in_quotes(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether a line holds an odd number of quotes, as where a quoted field goes on in the next line."""
+    lines = spark.read.option("encoding", encoding).csv(path, schema="line string", sep="\u0001", quote="", header=False)
+    return not lines.filter(F.length(F.regexp_replace("line", '[^"]', "")) % 2 == 1).isEmpty()
+
+
 def _columns(line: str, sep: str) -> list[str]:
     return [c.strip().strip('"').strip() for c in line.rstrip("\r\n").split(sep)]
 
 
 def _as_text(
     spark: SparkSession, path: str, sep: str, encoding: str, columns: list[str],
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
+    if multi_line is None:
+        multi_line = breaks_in_quotes(spark, path, encoding)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.schema(schema).option("header", True).option("sep", sep)
     reader = reader.option("encoding", encoding).option("enforceSchema", True)
@@ -58,11 +66,12 @@ def _as_text(
 
 
 def read_csv(
-    spark: SparkSession, path: str, *, order: bool = False, multi_line: bool = False
+    spark: SparkSession, path: str, *, order: bool = False, multi_line: bool | None = None
 ) -> DataFrame:
     """Comma CSV with a header; ids stay text and known numeric columns are numbers.
 
-    ``multi_line`` is for files with line breaks inside quotes; each is then read by one task.
+    Files with line breaks inside quotes are read by one task each, others in splits. ``multi_line``
+    says which it is; without it, a scan for lines with an odd number of quotes tells.
     """
     columns = _columns(first_line(spark, path), ",")
     df = _as_text(spark, path, ",", "UTF-8", columns, multi_line)
@@ -84,7 +93,7 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
 
 
 def read_semicolon(
-    spark: SparkSession, path: str, *, order: bool = True, multi_line: bool = False
+    spark: SparkSession, path: str, *, order: bool = True, multi_line: bool | None = None
 ) -> DataFrame:
     """Semicolon export in UTF-8, with or without byte order mark, or in Latin-1."""
     encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
@@ -93,18 +102,20 @@ def read_semicolon(
     return with_row_order(df) if order else df
 
 
-def read_any_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+def read_any_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> DataFrame:
     """All-text CSV whose separator, comma or semicolon, is told from the header."""
     line = first_line(spark, path)
     sep = ";" if line.count(";") > line.count(",") else ","
     return _as_text(spark, path, sep, "UTF-8", _columns(line, sep), multi_line)
 
 
-def read_tagged(spark: SparkSession, paths: list[str], name: str = "source") -> DataFrame:
+def read_tagged(
+    spark: SparkSession, paths: list[str], name: str = "source", *, multi_line: bool | None = None
+) -> DataFrame:
     """Several CSVs as one table, columns matched by name, rows tagged by file stem."""
     if not paths:
         raise ValueError("no file given")
-    frames = [read_csv(spark, p).withColumn(name, F.lit(PurePath(p).stem)) for p in paths]
+    frames = [read_csv(spark, p, multi_line=multi_line).withColumn(name, F.lit(PurePath(p).stem)) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -124,7 +135,8 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_histories(
-    spark: SparkSession, folder: str, glob: str = "*/results.csv", run: str = r"([^/]+)/results\.csv$"
+    spark: SparkSession, folder: str, glob: str = "*/results.csv", run: str = r"([^/]+)/results\.csv$",
+    *, multi_line: bool | None = None,
 ) -> DataFrame:
     """Training histories, by default ``<folder>/<run>/results.csv``, with the run's
     name taken from the path."""
@@ -134,7 +146,7 @@ def read_histories(
     }
     path = f"{folder.rstrip('/')}/{glob}"
     columns = _columns(first_line(spark, path), ",")
-    df = _as_text(spark, path, ",", "UTF-8", columns)
+    df = _as_text(spark, path, ",", "UTF-8", columns, multi_line)
     name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), run, 1))
     df = df.withColumn("run", name).withColumnsRenamed(renamed)
     numbers = [c for c in df.columns if c != "run"]

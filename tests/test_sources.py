@@ -20,6 +20,16 @@ def test_ids_stay_text_and_numbers_are_numbers(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("0012", 48.5, 7), ("x", None, None)]
 
 
+def test_line_breaks_in_quotes_need_no_flag(spark, tmp_path):
+    for name, sep in (("c", ","), ("s", ";")):
+        (tmp_path / f"{name}.csv").write_text(sep.join(["SUP_ID", "note"]) + f'\n1{sep}"a\nb ""q"" {sep}\r\nc"\n2{sep}"d"\n')
+    want = {c: [("1", f'a\nb "q" {s}\r\nc'), ("2", "d")] for c, s in (("c", ","), ("s", ";"))}
+    c, s = str(tmp_path / "c.csv"), str(tmp_path / "s.csv")
+    for df, kind in ((readers.read_csv(spark, c), "c"), (readers.read_semicolon(spark, s), "s"), (readers.read_any_csv(spark, c), "c"),
+                     (readers.read_any_csv(spark, s), "s"), (readers.read_tagged(spark, [c]), "c")):
+        assert sorted((r.SUP_ID, r.note) for r in df.collect()) == want[kind]
+
+
 def test_tagged_files_are_matched_by_name(spark, tmp_path):
     (tmp_path / "one.csv").write_text("SUP_ID,status\n1,visible\n")
     (tmp_path / "two.csv").write_text("status,SUP_ID,extra\nambigu,2,e\n")
