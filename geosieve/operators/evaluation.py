@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from geosieve.functions import boxes
 from geosieve.operators.annotations import usable
-from geosieve.operators.spread import materialize, materialize_with, rank_rows, skew_join
+from geosieve.operators.proximity import connected_components
+from geosieve.operators.spread import (
+    BROADCAST_ROWS, materialize, materialize_with, rank_rows, skew_join,
+)
 
 # The confidence thresholds of the published sweep.
 THRESHOLDS = [0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3]
@@ -216,87 +219,178 @@ def error_summary(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+# An image, or a component of overlapping boxes, of at most so many is settled in one ordered pass.
+WHOLE = 768
+
+
 def _bins(name: str) -> Column:
     """Size bin: floor of the binary logarithm of a side length."""
     return F.floor(F.log2(F.col(name))).cast("int")
 
 
+def _strength() -> Column:
+    """Ascending by falling confidence; no number is weakest."""
+    return F.coalesce(-F.col("confidence").cast("double"), F.lit(float("nan")))
+
+
+def _in_order(rows: DataFrame, keys: list[str], iou: float, unique: str) -> DataFrame:
+    """Rows that greedy suppression keeps in each group of ``keys``, by one fold over the ordered group.
+
+    For groups whose size the caller has bounded.
+    """
+    corners = list(boxes.CORNERS)
+    entry = F.struct(
+        _strength().alias("c"), F.col(unique).alias("u"), *[F.col(c).cast("double").alias(c) for c in corners],
+        F.struct(*rows.columns).alias("row"))
+    sorted_ = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("b"))
+
+    def step(kept: Column, box: Column) -> Column:
+        beaten = F.exists(kept, lambda k: boxes.iou({c: k[c] for c in corners}, {c: box[c] for c in corners}) > iou)
+        return F.when(beaten, kept).otherwise(F.concat(kept, F.array(box)))
+
+    kept = F.aggregate("b", F.slice("b", 1, 0), step)
+    return sorted_.select(F.explode(kept).alias("k")).select("k.row.*")
+
+
 def box_nms(
-    boxes_df: DataFrame, iou: float = 0.5, group: str = "image", unique: str = "pred_id"
+    boxes_df: DataFrame, iou: float = 0.5, group: str = "image", unique: str = "pred_id", whole: int = WHOLE,
 ) -> DataFrame:
     """Boxes left by greedy suppression: most confident first, dropping overlaps above ``iou``.
 
-    Works in rounds over whole tables. In every round the strongest open box of
-    each small cell is compared with those of the cells around; the ones no open
-    box beats are kept, and all open boxes they overlap are dropped. Per round a
-    box meets at most one kept box per cell around, so crowds are never paired.
+    An image of at most ``whole`` boxes is settled in one ordered pass, as one row. Larger ones are
+    contracted: cells of boxes of like size and place are joined where boxes of theirs may
+    overlap, and the components of that graph of cells are settled alone. A component that is still too
+    large is split by rank: its first ``whole`` boxes are settled in order, and so is the strongest box of each cell
+    that no stronger open one overlaps; what they overlap goes, and the rest falls into new
+    components. A chain of n boxes takes one round if it is short and n / ``whole`` at most.
+
+    A box without a group, without area or with a missing corner overlaps nothing and stays. A confidence that
+    is no number is the weakest.
     """
     if not 0 < iou < 1:
         raise ValueError("iou must be above 0 and below 1")
+    if whole < 1:
+        raise ValueError("whole must be at least 1")
+    has_area = F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
+    solid = has_area & F.col(group).isNotNull()
+    alone = boxes_df.filter(~solid)
+    rest = boxes_df.filter(solid)
+    sizes = rest.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole)
+    large, seen = materialize_with(sizes.select(group), "large")
+    if not seen["rows"]:
+        return alone.unionByName(_in_order(rest, [group], iou, unique))
+    # At most (rows / whole) images.
+    few = F.broadcast(large) if seen["rows"] <= BROADCAST_ROWS else large
+    small = _in_order(rest.join(few, group, "left_anti"), [group], iou, unique)
+    crowded = rest.join(few, group, "left_semi")
+    kept = _contracted(crowded, iou, group, unique, whole)
+    return alone.unionByName(small).unionByName(crowded.join(kept, unique, "left_semi"))
+
+
+def _around(df: DataFrame, iou: float) -> DataFrame:
+    """One row per cell whose boxes could overlap those described by the row above the limit.
+
+    ``df``: cell, the least and greatest side (w_lo, w_hi, h_lo, h_hi) and double centre (x_lo, ...).
+    """
+    # Sides of overlapping boxes differ by a factor of at most 1 / iou.
+    reach = math.ceil(-math.log2(iou))
+    spread = df
+    for side, axis, b, c in (("w", "x", "bw", "cx"), ("h", "y", "bh", "cy")):
+        spread = spread.withColumn(f"to_{b}", F.explode(F.sequence(F.col(b) - reach, F.col(b) + reach)))
+        unit = F.pow(F.lit(2.0), f"to_{b}")
+        # Centres differ by at most (1 - iou) times the longer side.
+        longest = F.greatest(F.col(f"{side}_hi"), F.least(F.col(f"{side}_hi") / iou, 2.0 * unit))
+        slack = 2.0 * (1.0 - iou) * longest + 1e-9
+        spread = spread.withColumn(f"to_{c}", F.explode(F.sequence(
+            F.floor((F.col(f"{axis}_lo") - slack) / unit).cast("long"),
+            F.floor((F.col(f"{axis}_hi") + slack) / unit).cast("long"))))
+    return spread
+
+
+def _contracted(crowded: DataFrame, iou: float, group: str, unique: str, whole: int) -> DataFrame:
+    """(unique) of the boxes kept in images too large for one pass."""
     corners = list(boxes.CORNERS)
     # Copies of one box: all but the strongest are certain to go.
-    first = F.min(F.struct((-F.col("confidence")).alias("c"), F.col(unique).alias("u"))).alias("k")
-    open_boxes = boxes_df.groupBy(group, *corners).agg(first).select(
-        group, *[F.col(c).cast("double").alias(c) for c in corners],
-        (-F.col("k.c")).alias("confidence"), F.col("k.u").alias(unique),
-    ).withColumns({
-        "w": F.col("x2") - F.col("x1"), "h": F.col("y2") - F.col("y1"),
-    }).filter("w > 0 and h > 0").withColumns({"bw": _bins("w"), "bh": _bins("h")})
+    first = F.min(F.struct(_strength().alias("c"), F.col(unique).alias("u"))).alias("k")
+    work = crowded.groupBy(group, *[F.col(c).cast("double").alias(c) for c in corners]).agg(first).select(
+        group, *corners, "k", F.col("k.u").alias(unique), (-F.col("k.c")).alias("confidence"),
+        (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
     # Cells are half a bin's least side wide and high.
-    open_boxes = open_boxes.withColumns({
+    work = work.withColumns({"bw": _bins("w"), "bh": _bins("h")}).withColumns({
         "cx": F.floor((F.col("x1") + F.col("x2")) / F.pow(F.lit(2.0), "bw")).cast("long"),
         "cy": F.floor((F.col("y1") + F.col("y2")) / F.pow(F.lit(2.0), "bh")).cast("long"),
     })
     cell = [group, "bw", "bh", "cx", "cy"]
-    # A box without area, or with a corner missing, overlaps nothing and always stays.
-    has_area = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    kept = boxes_df.filter(~F.coalesce(has_area, F.lit(False))).select(unique)
-    work, seen = materialize_with(open_boxes, "open")
-    # Sides of overlapping boxes differ by a factor of at most 1 / iou.
-    reach = math.ceil(-math.log2(iou)) + 1
-    rank = F.struct((-F.col("confidence")).alias("c"), F.col(unique).alias("u"))
-    shape = [*corners, "w", "h"]
-
-    def around(df: DataFrame) -> DataFrame:
-        """One row per cell whose boxes could overlap the row's box above the limit."""
-        spread = df
-        for side, b, c, lo, hi in (("w", "bw", "cx", "x1", "x2"), ("h", "bh", "cy", "y1", "y2")):
-            spread = spread.withColumn(
-                f"to_{b}", F.explode(F.sequence(F.col(b) - (reach - 1), F.col(b) + (reach - 1)))
-            )
-            # Centres differ by at most (1 - iou) times the longer side.
-            top = F.greatest(F.col(side), F.least(
-                F.col(side) / iou, F.pow(F.lit(2.0), F.col(f"to_{b}") + 1)))
-            unit = F.pow(F.lit(2.0), f"to_{b}")
-            twice = F.col(lo) + F.col(hi)
-            slack = 2.0 * (1.0 - iou) * top + 1e-9
-            spread = spread.withColumn(f"to_{c}", F.explode(F.sequence(
-                F.floor((twice - slack) / unit).cast("long"),
-                F.floor((twice + slack) / unit).cast("long"),
-            )))
-        return spread
-
-    target = {f"to_{c}": c for c in ("bw", "bh", "cx", "cy")}
+    target = {f"to_{c}": c for c in cell[1:]}
+    spans = {"w": F.col("w"), "h": F.col("h"), "x": F.col("x1") + F.col("x2"), "y": F.col("y1") + F.col("y2")}
+    alone = {f"{name}_{end}": value for name, value in spans.items() for end in ("lo", "hi")}
+    work, seen = materialize_with(work, "open")
+    kept: list[DataFrame] = []
     while seen["rows"]:
-        # The strongest box of each cell, spread to the cells around it.
-        best = work.groupBy(*cell).agg(F.min(F.struct(rank.alias("k"), *shape)).alias("b"))
-        tops = best.select(*cell, "b.*").withColumn(unique, F.col("k.u"))
-        tops = materialize(tops, "tops")
-        rivals = around(tops).select(
-            group, F.col(unique).alias("of"), F.col("k").alias("mine"), *target
-        ).withColumnsRenamed(target)
+        comps, facts = materialize_with(_components_of_cells(work, cell, target, spans, iou, group), "components")
+        small = facts["rows"] <= BROADCAST_ROWS
+        placed = skew_join(work, comps, cell, spread=[unique], small_right=True if small else None)
+        placed, crowd = materialize_with(placed, "placed", large=F.count(F.when(F.col("size") > whole, 1)))
+        done = _in_order(placed.filter(F.col("size") <= whole), [group, "component"], iou, unique)
+        kept.append(materialize(done.select(unique), "kept"))
+        if not crowd["large"]:
+            break
+        large = placed.filter(F.col("size") > whole)
+        # Partial limits cut each task's rows before they meet.
+        order = Window.partitionBy(group, "component").orderBy("k")
+        head = large.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= whole).drop("_place")
+        head = materialize(head, "head")
+        winners = _in_order(head, [group, "component"], iou, unique)
+        # The strongest box of each cell, compared with those of the cells around.
+        tops = large.groupBy(*cell, "component").agg(F.min_by(F.struct("k", *corners, "w", "h", unique), "k").alias("b"))
+        tops = materialize(tops.select(*cell, "b.*"), "tops")
+        rivals = _around(tops.withColumns(alone), iou).select(
+            group, F.col(unique).alias("of"), F.col("k").alias("mine"), *target).withColumnsRenamed(target)
         beaten = rivals.join(tops.select(*cell, "k"), cell).filter(F.col("k") < F.col("mine"))
-        winners = tops.join(
-            beaten.select(group, F.col("of").alias(unique)).distinct(), [group, unique], "left_anti"
-        )
-        winners = materialize(winners, "winners")
-        kept = kept.unionByName(winners.select(unique))
-        claims = around(winners).select(
-            group, F.col(unique).alias("by"), *[F.col(c).alias(f"k_{c}") for c in corners], *target
+        best = tops.join(beaten.select(F.col("of").alias(unique)).distinct(), unique, "left_anti")
+        shown = [*cell, unique, *corners, "w", "h"]
+        winners = materialize(winners.select(*shown).unionByName(best.select(*shown)).dropDuplicates([unique]), "winners")
+        kept.append(winners.select(unique))
+        claims = _around(winners.withColumns(alone), iou).select(
+            group, F.col(unique).alias("by"), *[F.col(c).alias(f"k_{c}") for c in corners], *target,
         ).withColumnsRenamed(target)
-        counts = work.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-        met = skew_join(work, claims, cell, spread=[unique], counts=counts)
+        counts = large.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+        met = skew_join(large, claims, cell, spread=[unique], counts=counts)
         overlap = boxes.iou({c: F.col(c) for c in corners}, {c: F.col(f"k_{c}") for c in corners})
-        dropped = met.filter((overlap > iou) | (F.col("by") == F.col(unique))).select(unique).distinct()
-        work, seen = materialize_with(work.join(dropped, unique, "left_anti"), "open")
-    return boxes_df.join(kept, unique, "left_semi")
+        gone = met.filter((overlap > iou) | (F.col("by") == F.col(unique))).select(unique)
+        gone = gone.unionByName(head.select(unique)).distinct()
+        work, seen = materialize_with(large.join(gone, unique, "left_anti").drop("component", "size"), "open")
+    out = crowded.select(unique).limit(0)
+    for part in kept:
+        out = out.unionByName(part)
+    return out
+
+
+def _components_of_cells(
+    work: DataFrame, cell: list[str], target: dict[str, str], spans: dict[str, Column], iou: float, group: str,
+) -> DataFrame:
+    """Cells with their component and the number of boxes in it."""
+    sides = []
+    for name, value in spans.items():
+        sides += [F.min(value).alias(f"{name}_lo"), F.max(value).alias(f"{name}_hi")]
+    for low, high in (("x1", "x2"), ("y1", "y2")):
+        sides += [F.min(low).alias(f"{low}_lo"), F.max(high).alias(f"{high}_hi")]
+    least = F.min(F.col("w") * F.col("h")).alias("area")
+    cells = materialize(work.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), least, *sides).withColumn(
+        "id", F.xxhash64(*cell)), "cells")
+    mine = _around(cells, iou).select(
+        group, F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x1_lo", "x2_hi", "y1_lo", "y2_hi", "area")],
+        *target).withColumnsRenamed(target)
+    met = mine.join(cells.select(*cell, F.col("id").alias("b"), "x1_lo", "x2_hi", "y1_lo", "y2_hi", "area"), cell)
+    shared = F.lit(1.0)
+    for low, high in (("x1_lo", "x2_hi"), ("y1_lo", "y2_hi")):
+        shared = shared * F.greatest(F.lit(0.0), F.least(high, f"a_{high}") - F.greatest(low, f"a_{low}"))
+    # IoU > t means shared area > t / (1 + t) * both areas.
+    may = shared * (1.0 + 1e-9) >= (iou / (1.0 + iou)) * (F.col("area") + F.col("a_area"))
+    edges = met.filter(may & (F.col("a") < F.col("b"))).select(group, "a", "b")
+    roots = connected_components(edges, [group]).withColumnRenamed("root", "component")
+    named = cells.select(*cell, "id", "n").join(roots, [group, "id"], "left").select(
+        *cell, "n", F.coalesce("component", "id").alias("component"))
+    named = materialize(named, "named")
+    totals = named.groupBy(group, "component").agg(F.sum("n").alias("size"))
+    return skew_join(named.drop("n"), totals, [group, "component"], spread=cell)

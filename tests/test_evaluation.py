@@ -109,7 +109,20 @@ def test_suppression(spark, limit):
     preds += [(200 + k, "i0", 0.5, *preds[0][3:]) for k in range(30)]
     preds += [(300, "i1", 0.1, 5.0, 5.0, 5.0, 9.0)]
     df = spark.createDataFrame(preds + [(400, "i1", 0.9, None, 5.0, 5.0, 9.0)], PRED)
-    assert {r.pred_id for r in ev.box_nms(df, limit).collect()} == brute_nms(preds, limit) | {400}
+    want = brute_nms(preds, limit) | {400}
+    assert {r.pred_id for r in ev.box_nms(df, limit).collect()} == want
+    # Images above the bound: components, ranked heads and strongest boxes of cells.
+    assert {r.pred_id for r in ev.box_nms(df, limit, whole=7).collect()} == want
+
+
+def test_suppression_along_a_chain(spark):
+    """Each box overlaps the next, in falling confidence: every second one stays."""
+    n = 2000
+    preds = [(k, "long", 1.0 - k / (2.0 * n), 6.0 * k, 0.0, 6.0 * k + 20.0, 20.0) for k in range(n)]
+    preds += [(n + k, f"short{k % 5}", None if k == 3 else 0.5, 0.0, 0.0, 10.0, 10.0) for k in range(20)]
+    preds += [(n + 50, None, 0.5, 0.0, 0.0, 10.0, 10.0)]
+    got = {r.pred_id for r in ev.box_nms(spark.createDataFrame(preds, PRED), 0.5).collect()}
+    assert got == set(range(0, n, 2)) | {n, n + 1, n + 2, n + 4, n + 8, n + 50}
 
 
 def test_annotation_checks(spark):
