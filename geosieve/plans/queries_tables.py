@@ -107,6 +107,20 @@ def src_csv_line_breaks(t):
     return readers.read_csv(t.spark, path)
 
 
+@query("src_null_words", """
+select sup_id, case when nature_id % 3 <> 0 then insee end as insee, case when nature_id % 5 <> 0 then round(latitude, 9) end as latitude from sites
+""")
+def src_null_words(t):
+    path = scratch_path(t.spark, "words")
+    words = F.element_at(F.lit(["NA", "n/a", "null", "None", "#N/A"]), F.pmod(F.xxhash64("SUP_ID"), F.lit(5)).cast("int") + 1)
+    named = t.catalogue.select(
+        "SUP_ID", F.when(F.col("NAT_ID") % 3 == 0, words).otherwise(F.col("COM_CD_INSEE")).alias("COM_CD_INSEE"),
+        F.when(F.col("NAT_ID") % 5 == 0, F.lit("NaN")).otherwise(F.col("latitude").cast("string")).alias("latitude"))
+    writers.write_csv(named, path)
+    df = readers.read_csv(t.spark, path)
+    return df.select(F.col("SUP_ID").alias("sup_id"), F.col("COM_CD_INSEE").alias("insee"), F.round("latitude", 9).alias("latitude"))
+
+
 SWEEP_CTE = """
 with usable as (select * from annotations where status <> 'ambigu'),
 th(threshold) as (values {values}),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from pathlib import PurePath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geosieve.functions.text import to_number
+from geosieve.sources.records import file_lines, probe, records
 
 BOM = "﻿"
 # Numeric columns of the source tables; all others stay text.
@@ -27,10 +28,17 @@ LONGS = {
 }
 
 
+# Words that stand for a missing value.
+NULL_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
 def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     """The header line of a file or of the first file of a folder."""
-    lines = spark.read.option("encoding", encoding).text(path).head(1)
-    return lines[0][0].lstrip(BOM) if lines else ""
+    lines = file_lines(spark, path).select("line").head(1)
+    return bytes(lines[0][0]).decode(encoding).lstrip(BOM) if lines else ""
 
 
 def with_row_order(df: DataFrame) -> DataFrame:
@@ -43,79 +51,94 @@ def with_row_order(df: DataFrame) -> DataFrame:
     return df.select("*", place.alias("_row"))
 
 
-def breaks_in_quotes(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
-    """Whether a line holds an odd number of quotes, as where a quoted field goes on in the next line."""
-    lines = spark.read.option("encoding", encoding).csv(path, schema="line string", sep="\u0001", quote="", header=False)
-    return not lines.filter(F.length(F.regexp_replace("line", '[^"]', "")) % 2 == 1).isEmpty()
-
-
 def _columns(line: str, sep: str) -> list[str]:
     return [c.strip().strip('"').strip() for c in line.rstrip("\r\n").split(sep)]
 
 
+def _present(columns: list[str], null_words: tuple[str, ...]) -> dict[str, Column]:
+    """The text columns with the words for missing values as nulls."""
+    return {c: F.when(~F.col(f"`{c}`").isin(*null_words), F.col(f"`{c}`")) for c in columns} if null_words else {}
+
+
 def _as_text(
-    spark: SparkSession, path: str, sep: str, encoding: str, columns: list[str],
-    multi_line: bool | None = None,
+    spark: SparkSession, path: str, sep: str, *, encoding: str | None = "UTF-8", multi_line: bool | None = None,
+    null_words: tuple[str, ...] = NULL_WORDS, order: bool = False, tags: dict[str, Column] | None = None,
 ) -> DataFrame:
-    if multi_line is None:
-        multi_line = breaks_in_quotes(spark, path, encoding)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.read.schema(schema).option("header", True).option("sep", sep)
-    reader = reader.option("encoding", encoding).option("enforceSchema", True)
-    return reader.option("escape", '"').option("multiLine", multi_line).csv(path)
+    """All columns of the header as text. Without an encoding, UTF-8 if every line is, else Latin-1.
+
+    One scan tells the encoding and whether records span lines; then the file is read once, in
+    splits in either case.
+    """
+    lines = file_lines(spark, path)
+    splits = None
+    if multi_line is not False or encoding is None:
+        splits, utf8, breaks = probe(lines, sep)
+        encoding = encoding or ("UTF-8" if utf8 else "ISO-8859-1")
+        multi_line = breaks if multi_line is None else multi_line
+    columns = _columns(first_line(spark, path, encoding), sep)
+    if multi_line:
+        found = records(lines, splits, sep).filter("start > 0 or line > 0")
+        text = F.regexp_replace(F.decode("record", encoding), "\\r\\z", "")
+        schema = ", ".join(f"c{i} string" for i in range(len(columns)))
+        options = {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1"}
+        df = found.withColumn("text", text).filter(F.trim("text") != "")
+        df = df.select(F.col("path").alias("_path"), F.struct("path", "start", "line").alias("_row"),
+                       F.from_csv("text", schema, options).alias("_values"))
+        df = df.select("_path", "_row", *[F.col(f"_values.c{i}").alias(c) for i, c in enumerate(columns)])
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        reader = spark.read.schema(schema).option("header", True).option("sep", sep)
+        reader = reader.option("encoding", encoding).option("enforceSchema", True)
+        df = reader.option("escape", '"').csv(path)
+        if order or tags:
+            df = with_row_order(df).withColumn("_path", F.col("_row.path"))
+    for name, value in (tags or {}).items():
+        df = df.withColumn(name, value)
+    shown = [*columns, *(tags or {}), *(["_row"] if order else [])]
+    return df.select(*[F.col(f"`{c}`") for c in shown]).withColumns(_present(columns, null_words))
 
 
 def read_csv(
-    spark: SparkSession, path: str, *, order: bool = False, multi_line: bool | None = None
+    spark: SparkSession, path: str, *, order: bool = False, multi_line: bool | None = None,
+    null_words: tuple[str, ...] = NULL_WORDS,
 ) -> DataFrame:
     """Comma CSV with a header; ids stay text and known numeric columns are numbers.
 
-    Files with line breaks inside quotes are read by one task each, others in splits. ``multi_line``
-    says which it is; without it, a scan for lines with an odd number of quotes tells.
+    Records may span lines inside quotes; ``multi_line`` says so or not, and without it a scan tells. Cells that
+    are one of ``null_words`` are null in every column, text or number.
     """
-    columns = _columns(first_line(spark, path), ",")
-    df = _as_text(spark, path, ",", "UTF-8", columns, multi_line)
-    if order:
-        df = with_row_order(df)
+    df = _as_text(spark, path, ",", multi_line=multi_line, null_words=null_words, order=order)
+    columns = [c for c in df.columns if c != "_row"]
     numbers = {c: to_number(c) for c in columns if c in DOUBLES}
     numbers |= {c: to_number(c).cast("long") for c in columns if c in LONGS}
     return df.withColumns(numbers) if numbers else df
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether every line is valid UTF-8. Lines are checked as bytes on the executors."""
-    # ISO-8859-1 maps bytes to characters one to one, so encoding the text back
-    # gives the file's bytes, and large files are still read in splits.
-    raw = spark.read.option("encoding", "ISO-8859-1").csv(
-        path, schema="line string", sep="\u0001", quote="", header=False
-    )
-    return raw.filter(~F.is_valid_utf8(F.encode("line", "ISO-8859-1"))).isEmpty()
-
-
 def read_semicolon(
-    spark: SparkSession, path: str, *, order: bool = True, multi_line: bool | None = None
+    spark: SparkSession, path: str, *, order: bool = True, multi_line: bool | None = None,
+    null_words: tuple[str, ...] = NULL_WORDS,
 ) -> DataFrame:
     """Semicolon export in UTF-8, with or without byte order mark, or in Latin-1."""
-    encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
-    columns = _columns(first_line(spark, path, encoding), ";")
-    df = _as_text(spark, path, ";", encoding, columns, multi_line)
-    return with_row_order(df) if order else df
+    return _as_text(spark, path, ";", encoding=None, multi_line=multi_line, null_words=null_words, order=order)
 
 
-def read_any_csv(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> DataFrame:
+def read_any_csv(
+    spark: SparkSession, path: str, *, multi_line: bool | None = None, null_words: tuple[str, ...] = NULL_WORDS,
+) -> DataFrame:
     """All-text CSV whose separator, comma or semicolon, is told from the header."""
     line = first_line(spark, path)
     sep = ";" if line.count(";") > line.count(",") else ","
-    return _as_text(spark, path, sep, "UTF-8", _columns(line, sep), multi_line)
+    return _as_text(spark, path, sep, multi_line=multi_line, null_words=null_words)
 
 
 def read_tagged(
-    spark: SparkSession, paths: list[str], name: str = "source", *, multi_line: bool | None = None
+    spark: SparkSession, paths: list[str], name: str = "source", *, multi_line: bool | None = None,
+    null_words: tuple[str, ...] = NULL_WORDS,
 ) -> DataFrame:
     """Several CSVs as one table, columns matched by name, rows tagged by file stem."""
     if not paths:
         raise ValueError("no file given")
-    frames = [read_csv(spark, p, multi_line=multi_line).withColumn(name, F.lit(PurePath(p).stem)) for p in paths]
+    frames = [read_csv(spark, p, multi_line=multi_line, null_words=null_words).withColumn(name, F.lit(PurePath(p).stem)) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -145,10 +168,8 @@ def read_histories(
         "metrics/precision(B)": "prec", "metrics/recall(B)": "rec",
     }
     path = f"{folder.rstrip('/')}/{glob}"
-    columns = _columns(first_line(spark, path), ",")
-    df = _as_text(spark, path, ",", "UTF-8", columns, multi_line)
-    name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), run, 1))
-    df = df.withColumn("run", name).withColumnsRenamed(renamed)
+    name = F.url_decode(F.regexp_extract(F.col("_path"), run, 1))
+    df = _as_text(spark, path, ",", multi_line=multi_line, tags={"run": name}).withColumnsRenamed(renamed)
     numbers = [c for c in df.columns if c != "run"]
     return df.withColumns({
         c: F.trim(F.col(c)).try_cast("long" if c == "epoch" else "double") for c in numbers

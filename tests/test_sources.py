@@ -1,9 +1,13 @@
+import csv
 import hashlib
+import io
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from geosieve.sources import readers, writers
+from geosieve.sources import readers, records, writers
 
 
 def test_separator_is_told_from_the_header(spark, tmp_path):
@@ -30,6 +34,75 @@ def test_line_breaks_in_quotes_need_no_flag(spark, tmp_path):
         assert sorted((r.SUP_ID, r.note) for r in df.collect()) == want[kind]
 
 
+@pytest.fixture()
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_records_are_cut_from_many_splits(spark, tmp_path, small_splits, monkeypatch):
+    rng = random.Random(2)
+    bits = ["a", "word", "\n", "\r\n", '""', ",", ";", "é", " ", "x" * 30]
+    texts = {}
+    for name in ("one", "two"):
+        rows = []
+        for i in range(60):
+            cells = [str(i)]
+            for _ in range(2):
+                text = "".join(rng.choices(bits, k=rng.randint(0, 9)))
+                # A quote inside an unquoted cell is a character.
+                cells.append(f'"{text}"' if rng.random() < 0.6 else rng.choice(["plain", '5" wide', 'in "it"', ""]))
+            rows.append(",".join(cells))
+        rows.insert(30, '90,"' + "long\n" * 60 + '",end')  # over several splits
+        texts[name] = "id,a,b\n" + "\n".join(rows) + ("\n" if name == "one" else "")
+        (tmp_path / f"{name}.csv").write_bytes(texts[name].encode())
+    want = {}
+    for name, text in texts.items():
+        read = list(csv.reader(io.StringIO(text, newline="")))
+        want[name] = [tuple(v or None for v in r) for r in read[1:]]
+    df = readers.read_csv(spark, str(tmp_path), order=True, null_words=("",))
+    assert records.file_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(records, "BROADCAST_ROWS", 0)
+            df = readers.read_csv(spark, str(tmp_path), order=True, null_words=("",))
+        got = df.orderBy("_row").select("id", "a", "b", F.element_at(F.split("_row.path", "/"), -1).alias("f")).collect()
+        for name in texts:
+            assert [tuple(r)[:3] for r in got if r.f == f"{name}.csv"] == want[name]
+
+
+def test_splits_that_keep_or_turn_their_state(spark):
+    facts = [("f", 0, False, True), ("f", 1, True, True), ("f", 2, False, True), ("f", 3, True, False), ("f", 4, True, False),
+             ("f", 5, True, False), ("f", 6, False, False), ("f", 7, True, False), ("g", 0, True, False), ("g", 1, False, True)]
+    df = spark.createDataFrame(facts, "path string, start long, closed boolean, opened boolean")
+    got = {(r.path, r.start): r.inside for r in records.beginnings(df).collect()}
+    want, state = {}, False
+    for path, start, closed, opened in facts:
+        state = False if start == 0 else state
+        want[path, start] = state
+        state = opened if state else closed
+    assert got == want
+
+
+def test_words_for_missing_values(spark, tmp_path):
+    (tmp_path / "n.csv").write_text('SUP_ID,latitude,note\nNA,NaN,null\n"n/a",48.5,"NA "\n7,None,#N/A\n')
+    want = [(None, None, None), (None, 48.5, "NA "), ("7", None, None)]
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "n.csv")).collect()] == want
+    kept = readers.read_csv(spark, str(tmp_path / "n.csv"), null_words=("#N/A",)).collect()
+    assert [(r.SUP_ID, r.note) for r in kept] == [("NA", "null"), ("n/a", "NA "), ("7", None)]
+
+
+def test_encoding_is_told_by_the_probe(spark, tmp_path):
+    for name, encoding in (("l", "latin-1"), ("u", "utf-8-sig")):
+        (tmp_path / f"{name}.csv").write_bytes('SUP_ID;Pylône\n1;"é\nü"\n2;ß\n'.encode(encoding))
+        df = readers.read_semicolon(spark, str(tmp_path / f"{name}.csv"), order=False)
+        assert df.columns == ["SUP_ID", "Pylône"]
+        assert sorted(tuple(r) for r in df.collect()) == [("1", "é\nü"), ("2", "ß")]
+
+
 def test_tagged_files_are_matched_by_name(spark, tmp_path):
     (tmp_path / "one.csv").write_text("SUP_ID,status\n1,visible\n")
     (tmp_path / "two.csv").write_text("status,SUP_ID,extra\nambigu,2,e\n")
