@@ -13,6 +13,8 @@ from geosieve.operators.checks import require_columns
 from geosieve.operators.proximity import Groups, close_groups, group_cells
 from geosieve.operators.spread import materialize, rank_rows, skew_join
 
+# Ids of a page of a cluster's list.
+PAGE = 1000
 NEEDED = [
     "detection_id", "zone_id", "confidence", "latitude", "longitude", "nearest_ANFR_distance_m",
 ]
@@ -50,18 +52,56 @@ class Clusters:
     vertices: DataFrame
     table: DataFrame
 
-    def keyed_members(self) -> DataFrame:
+    def keyed_members(self, only: DataFrame | None = None) -> DataFrame:
+        """One row per detection with its cluster; with ``only`` of those clusters (zone_id, root)."""
         keys = ["zone_id", *CELL]
+        vertices, loose = self.vertices, self.loose.withColumn("root", F.col("detection_id"))
+        if only is not None:
+            vertices = vertices.join(only, ["zone_id", "root"], "left_semi")
         placed = skew_join(
-            self.points, self.vertices.select(*keys, "root"), keys,
+            self.points, vertices.select(*keys, "root"), keys,
             spread=["zone_id", "detection_id"], counts=self.vertices,
         ).drop(*CELL)
-        return placed.unionByName(self.loose.withColumn("root", F.col("detection_id")))
+        return placed if only is not None else placed.unionByName(loose)
 
     def members(self) -> DataFrame:
         """One row per detection with its cluster's root, whatever the cluster's size."""
         return self.keyed_members().withColumn("zone_id", _zone_name())
 
+    def pages(self, page: int | None = None) -> DataFrame:
+        """The members of clusters of two or more as pages: zone_id (a key), root, page, ids.
+
+        A page holds at most ``page`` ids in input order, and pages follow each other. Clusters that need one
+        page are gathered; in larger ones ids are ranked over range partitions first, so none meets in one task.
+        """
+        page = PAGE if page is None else page
+        name = ["zone_id", "root"]
+        sizes = self.table.select(*name, F.col("detections_in_cluster").alias("n"))
+        ids = F.array_sort(F.collect_list("detection_id")).alias("ids")
+        fit = sizes.filter(F.col("n").between(2, page)).select(*name)
+        one = self.keyed_members(fit).groupBy(*name).agg(ids).withColumn("page", F.lit(0).cast("long"))
+        one = one.select(*name, "page", "ids")
+        large = sizes.filter(F.col("n") > page).select(*name)
+        if large.isEmpty():
+            return one
+        ranked = rank_rows(
+            self.keyed_members(large).select(*name, "detection_id"), [F.col("detection_id").asc()], within=name, name="_no")
+        number = F.floor((F.col("_no") - 1) / page).cast("long").alias("page")
+        return one.unionByName(ranked.groupBy(*name, number).agg(ids))
+
+
+def id_texts(pages: DataFrame) -> DataFrame:
+    """zone_id, root, cluster_detection_ids: the pages of each cluster as one text, for export.
+
+    Only page texts meet, a thousandth of the rows; a cluster whose text passes 2 GB has no such text in any
+    file format here, and its pages are the result.
+    """
+    text_of = F.array_join(F.col("ids").cast("array<string>"), ",").alias("text")
+    texts = pages.select("zone_id", "root", "page", text_of)
+    parts = F.array_sort(F.collect_list(F.struct("page", "text")))
+    return texts.groupBy("zone_id", "root").agg(parts.alias("p")).select(
+        "zone_id", "root", F.array_join(F.transform("p", lambda x: x["text"]), ",").alias("cluster_detection_ids"))
+
 
 def cluster_detections(detections: DataFrame, cluster_distance_m: float = 30.0) -> Clusters:
     """Group detections of one zone linked by steps of at most the given distance.
@@ -117,33 +157,20 @@ def cluster_detections(detections: DataFrame, cluster_distance_m: float = 30.0)
     return Clusters(points, loose, groups, vertices, materialize(table.unionByName(single), "clusters"))
 
 
-def _keyed_table(clusters: Clusters) -> DataFrame:
-    table = clusters.table
-    # Clusters of one need no list: only the members of larger ones are gathered.
-    several = table.filter("detections_in_cluster > 1").select("zone_id", "root")
-    members = clusters.keyed_members().select("zone_id", "root", "detection_id").join(several, ["zone_id", "root"])
-    lists = members.groupBy("zone_id", "root").agg(
-        F.array_sort(F.collect_list("detection_id")).alias("ids")
-    )
-    named = F.coalesce("ids", F.array("detection_id"))
-    return (
-        table.join(lists, ["zone_id", "root"], "left")
-        .withColumn("cluster_detection_id_list", named)
-        .withColumn(
-            "cluster_detection_ids",
-            F.array_join(F.col("cluster_detection_id_list").cast("array<string>"), ","),
-        )
-        .drop("ids")
-    )
+def _with_ids(clusters: Clusters, table: DataFrame) -> DataFrame:
+    """Cluster rows with the ids of their members as text."""
+    texts = id_texts(clusters.pages())
+    named = F.coalesce("cluster_detection_ids", F.col("detection_id").cast("string"))
+    return table.join(texts, ["zone_id", "root"], "left").withColumn("cluster_detection_ids", named)
 
 
 def cluster_table(clusters: Clusters) -> DataFrame:
     """One row per cluster with its size, maxima, representative and all member ids.
 
     The ids are listed in input order, whatever their number; ``Clusters.members`` has them
-    as rows.
+    as rows and ``Clusters.pages`` as pages.
     """
-    return _keyed_table(clusters).withColumn("zone_id", _zone_name())
+    return _with_ids(clusters, clusters.table).withColumn("zone_id", _zone_name())
 
 
 def number_candidates(candidates: DataFrame, *, per_zone: bool = False) -> DataFrame:
@@ -169,12 +196,14 @@ def merge_candidates(
     Members: zone_id, root (a name of the cluster in its zone), detection_id of every detection.
     """
     clusters = cluster_detections(detections, cluster_distance_m)
-    table = _keyed_table(clusters).withColumnRenamed("zone_id", "_zone").drop("root")
+    # Numbers need the thin table only; wide columns join last.
+    thin = number_candidates(
+        clusters.table.withColumn("confidence", F.col("cluster_max_confidence")), per_zone=per_zone).drop("confidence")
+    table = _with_ids(clusters, thin).withColumnRenamed("zone_id", "_zone").drop("root")
     merged = detections.withColumn("zone_id", F.col("zone_id").cast("string")).withColumn(
         "_zone", _zone_key()
     ).join(table, ["_zone", "detection_id"]).drop("_zone")
-    members = clusters.members().select("zone_id", "root", "detection_id")
-    return number_candidates(merged, per_zone=per_zone), members
+    return merged, clusters.members().select("zone_id", "root", "detection_id")
 
 
 def dedup_candidates(

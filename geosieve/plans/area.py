@@ -112,10 +112,9 @@ def summarise(
 
 def write_run(run: AreaRun, folder: str) -> None:
     """Write the run's tables and its summary."""
-    flat = run.candidates.drop("cluster_detection_id_list")
     writers.write_csv(run.detections, f"{folder}/detections")
     writers.write_csv(run.far, f"{folder}/detections_hors_correspondance_anfr")
-    writers.write_csv(flat, f"{folder}/candidats_uniques")
+    writers.write_csv(run.candidates, f"{folder}/candidats_uniques")
     writers.write_csv(run.members, f"{folder}/membres_candidats")
     writers.write_geojson_lines(
         run.candidates, f"{folder}/candidats_geojson",

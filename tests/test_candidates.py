@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,19 @@ def test_clusters_of_any_size_list_their_members(spark):
     assert sorted(r["count"] for r in members.groupBy("root").count().collect()) == [1, 20]
 
 
+def test_large_clusters_are_listed_in_pages(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "A", 0.5, 48.0, 2.0 + i * 1e-7, 200.0) for i in rng.sample(range(1000), 90)]
+    rows += [(2000 + i, None, 0.5, 48.0, 2.0, 200.0) for i in range(4)] + [(3000, "B", 0.5, 48.0, 2.0, 200.0)]
+    ids = sorted(r[0] for r in rows if r[1] == "A")
+    clusters = cand.cluster_detections(make(spark, rows))
+    pages = sorted((r.zone_id, r.page, r.ids) for r in clusters.pages(40).collect())
+    assert pages == [("", 0, [2000, 2001, 2002, 2003]), ("=A", 0, ids[:40]), ("=A", 1, ids[40:80]), ("=A", 2, ids[80:])]
+    monkeypatch.setattr(cand, "PAGE", 7)
+    got = {r.zone_id: r.cluster_detection_ids for r in cand.dedup_candidates(make(spark, rows)).collect()}
+    assert got == {"A": ",".join(map(str, ids)), None: "2000,2001,2002,2003", "B": "3000"}
+
+
 def test_incomplete_detections_stay(spark):
     rows = [(1, "A", 0.5, None, 2.0, 200.0), (2, "A", float("nan"), 44.0, 2.0, 200.0), (3, "A", 0.1, 44.0, 2.0, 210.0),
             (4, None, 0.2, 44.0, 2.0, 200.0), (5, None, 0.3, 44.0, 2.0, 200.0), (6, None, None, None, None, 200.0)]
