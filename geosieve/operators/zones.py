@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geosieve.config import Imagery
@@ -180,43 +180,71 @@ def zone_extents(patches: DataFrame) -> DataFrame:
     )
 
 
+def _cover(extents: DataFrame, top: float, levels: int) -> DataFrame:
+    """(zone_id, edges, level, ci, cj, inside): cells that cover each extent, the coarsest that fit.
+
+    Level 0 has cells of ``top`` degrees, each level halves them. The cells inside an extent are a block at each
+    level; of that block those are listed which the block of the level above leaves over, a frame. Around the last
+    block come the cells on the rim, which have to be looked into.
+    """
+    margin = 1e-9
+    sides = (("south", "north", "a", "b"), ("west", "east", "c", "d"))
+    shown = ["zone_id", "north", "south", "west", "east"]
+    cut = extents.select(*shown).filter("south <= north and west <= east")
+    # One row a level, and one for the rim at the last level.
+    cut = cut.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    cut = cut.withColumns({"level": F.least(F.col("_step"), F.lit(levels - 1)), "inside": F.col("_step") < levels})
+    cut = cut.withColumn("_side", F.lit(top) / F.pow(F.lit(2.0), "level"))
+    # The block left out: that of the level above in cells of this one, or for the rim the block itself.
+    cut = cut.withColumn("_times", F.when(F.col("inside"), 2).otherwise(1).cast("long"))
+    outer, inner = {}, {}
+    for low, high, first, last in sides:
+        for found, side in ((outer, F.col("_side")), (inner, F.col("_side") * F.col("_times"))):
+            found[first] = F.ceil((F.col(low) + margin) / side).cast("long")
+            found[last] = F.floor((F.col(high) - margin) / side).cast("long") - 1
+        outer[first] = F.when(F.col("inside"), outer[first]).otherwise(F.floor(F.col(low) / F.col("_side")).cast("long"))
+        outer[last] = F.when(F.col("inside"), outer[last]).otherwise(F.floor(F.col(high) / F.col("_side")).cast("long"))
+    cut = cut.withColumns({**outer, **{f"_{k}": v for k, v in inner.items()}}).filter("a <= b and c <= d")
+    some = (F.col("_step") > 0) & (F.col("_a") <= F.col("_b")) & (F.col("_c") <= F.col("_d"))
+    cut = cut.withColumns({f"i{k}": F.when(some, F.col(f"_{k}") * F.col("_times") + (F.col("_times") - 1 if k in "bd" else 0)) for k in "abcd"})
+    cut = cut.withColumn("ci", F.explode(F.sequence("a", "b")))
+    # Rows beside the inner block are whole, the others have a piece on either side of it.
+    beside = F.col("ia").isNull() | (F.col("ci") < F.col("ia")) | (F.col("ci") > F.col("ib"))
+    one = F.array(F.struct(F.col("c").alias("lo"), F.col("d").alias("hi")))
+    two = F.array(F.struct(F.col("c").alias("lo"), (F.col("ic") - 1).alias("hi")), F.struct((F.col("id") + 1).alias("lo"), F.col("d").alias("hi")))
+    cut = cut.withColumn("_piece", F.explode(F.when(beside, one).otherwise(two))).filter("_piece.lo <= _piece.hi")
+    return cut.withColumn("cj", F.explode(F.sequence("_piece.lo", "_piece.hi"))).select(*shown, "level", "ci", "cj", "inside")
+
+
 def sites_in_extents(
-    extents: DataFrame, sites: DataFrame, name: str = "sites_in_extent", cell_deg: float = 1.0 / 512
+    extents: DataFrame, sites: DataFrame, name: str = "sites_in_extent", top_deg: float = 16.0, levels: int = 14,
 ) -> DataFrame:
     """Sites inside each zone's extent, edges included.
 
-    Sites are counted per small cell first. A cell wholly inside an extent adds its
-    count as one row; only cells on an extent's rim are looked into site by site.
+    Sites are counted per cell of each level first. An extent is covered by coarse cells inside and finer ones
+    towards its rim, so its number of cells grows with its rim and not with its area. A cell inside adds its count as
+    one row; only the finest cells on the rim (``top_deg`` halved ``levels`` - 1 times) are looked into site by site.
     """
-    lat_cell = F.floor(F.col("latitude") / cell_deg).cast("long").alias("ci")
-    lon_cell = F.floor(F.col("longitude") / cell_deg).cast("long").alias("cj")
+    fine = top_deg / 2 ** (levels - 1)
+    lat_cell = F.floor(F.col("latitude") / fine).cast("long").alias("ci")
+    lon_cell = F.floor(F.col("longitude") / fine).cast("long").alias("cj")
     # Copies of one position are one row with a weight.
     spots = sites.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("w"))
     spots = materialize(spots.select("*", lat_cell, lon_cell), "spots")
-    cells = spots.groupBy("ci", "cj").agg(F.sum("w").alias("n"))
-
-    def steps(lo: str, hi: str):
-        first = F.floor(F.col(lo) / cell_deg).cast("long")
-        return F.sequence(first, F.floor(F.col(hi) / cell_deg).cast("long"))
-
-    covers = (
-        extents.select("zone_id", "north", "south", "west", "east")
-        .withColumn("ci", F.explode(steps("south", "north")))
-        .withColumn("cj", F.explode(steps("west", "east")))
-    )
-    margin = 1e-9
-    south, west = F.col("ci") * cell_deg, F.col("cj") * cell_deg
-    inside = (
-        (south >= F.col("south") + margin) & (south + cell_deg <= F.col("north") - margin)
-        & (west >= F.col("west") + margin) & (west + cell_deg <= F.col("east") - margin)
-    )
-    covers = covers.withColumn("inside", inside)
-    whole = covers.filter("inside").join(cells, ["ci", "cj"]).select("zone_id", "n")
+    cells = spots.groupBy("ci", "cj").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"))
+    cells = materialize(cells, "cells")
+    cover = materialize(_cover(extents, top_deg, levels), "cover")
+    # The counts of all levels from those of the finest.
+    up = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    counts = up.groupBy(
+        "level", F.expr(f"shiftright(ci, {levels - 1} - level)").alias("ci"), F.expr(f"shiftright(cj, {levels - 1} - level)").alias("cj")
+    ).agg(F.sum("n").alias("n"))
+    whole = cover.filter("inside").join(counts, ["level", "ci", "cj"]).select("zone_id", "n")
     in_box = F.col("latitude").between(F.col("south"), F.col("north")) & F.col(
         "longitude").between(F.col("west"), F.col("east"))
-    edge = covers.filter(~F.col("inside")).drop("inside")
+    edge = cover.filter(~F.col("inside")).drop("inside", "level")
     rim = skew_join(
-        spots, edge, ["ci", "cj"], spread=["latitude", "longitude"], counts=cells
+        spots, edge, ["ci", "cj"], spread=["latitude", "longitude"], counts=cells.select("ci", "cj", F.col("rows").alias("n"))
     ).filter(in_box)
     found = whole.unionByName(rim.select("zone_id", F.col("w").alias("n")))
     totals = found.groupBy("zone_id").agg(F.sum("n").alias(name))

@@ -152,3 +152,26 @@ def test_sites_in_extents(spark):
     def inside(n, s, w, e):
         return sum(s <= la <= n and w <= lo <= e for _, _, la, lo in rows)
     assert got == {"a": inside(48.013, 48.004, 2.003, 2.016), "none": 0, "edge": inside(rows[0][2], 48.0, 2.0, rows[0][3])}
+
+
+def test_cover_of_a_country_is_short_and_exact(spark):
+    extents = spark.createDataFrame(
+        [("land", 51.1, 41.3, -5.2, 9.6), ("all", 90.0, -90.0, -180.0, 180.0), ("spot", 2.5, 2.5, 3.25, 3.25), ("back", 1.0, 2.0, 0.0, 1.0)],
+        "zone_id string, north double, south double, west double, east double")
+    counts = {r.zone_id: r.n for r in zones._cover(extents, 16.0, 14).groupBy("zone_id").agg(F.count("*").alias("n")).collect()}
+    assert counts["land"] < 100_000 and counts["spot"] <= 4 and "back" not in counts
+    # A small pyramid: every cell of the finest level is covered once, inside or on the rim as it should be.
+    small = spark.createDataFrame([("z", 6.3, -2.2, 0.4, 9.0)], "zone_id string, north double, south double, west double, east double")
+    seen = {}
+    for r in zones._cover(small, 4.0, 4).collect():
+        k = 2 ** (3 - r.level)
+        for i in range(r.ci * k, (r.ci + 1) * k):
+            for j in range(r.cj * k, (r.cj + 1) * k):
+                assert (i, j) not in seen
+                seen[i, j] = r.inside
+    want = {(i, j): -2.2 < i * 0.5 and (i + 1) * 0.5 < 6.3 and 0.4 < j * 0.5 and (j + 1) * 0.5 < 9.0 for i in range(-5, 13) for j in range(0, 19)}
+    assert seen == want
+    rows, df = sites(spark, 400, 6, spread_deg=30.0)
+    got = {r.zone_id: r.sites_in_extent for r in zones.sites_in_extents(extents, df).collect()}
+    for z, n, s, w, e in [tuple(r) for r in extents.collect()]:
+        assert got[z] == sum(s <= la <= n and w <= lo <= e for _, _, la, lo in rows)
