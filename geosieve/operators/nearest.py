@@ -1,153 +1,221 @@
-"""Nearest known site for every point, exactly, without comparing all pairs.
+"""Nearest known site for every point, exactly, by descending two trees of cells together.
 
-Points are first summarised into small cells. For each cell the sites that can
-be nearest to any of its points are found by comparing boxes: a site farther
-from the whole cell than some other site is from its farthest corner is out.
-The short candidate list then meets the points in one join and the closest
-entry is picked in place.
+Positions on the sphere fall into cubes; level L halves the cube of level 0 L times. Sites are
+summarised at every third level (box, number and, in cells of few sites, the sites themselves). A
+point's home is the finest level at which its cell, or a neighbour on a nearer side, holds a site, which bounds
+its distance at once. Points of one home are grouped by cells one step finer, and such a group
+meets only the site cells within its bound. The bound is then the least of the greatest distances between the boxes, aggregated per group, and
+site cells beyond it go. Groups whose remaining cells hold few sites have their list; the others are
+divided, and so are their site cells, until the lists are short.
+
+No step pairs points with sites: only groups and cells meet, at most a few hundred cells a group, and the
+number of groups is bounded by that of site cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geosieve.functions import geo
 from geosieve.operators.cells import (
-    AXES, CELL, MARGIN_M, box_columns, box_of, gap_squared, neighbour_cells, point_box,
-    span_squared,
+    AXES, CELL, MARGIN_M, box_of,
 )
 from geosieve.operators.spread import (
     BROADCAST_ROWS, materialize, materialize_with, skew_join,
 )
 
-# All positions are shifted into one cube of side 2**24 m; level L halves it L
-# times. Cells of level 16 are 256 m wide.
+# All positions are shifted into one cube of side 2**24 m. Cells of level 16 are 256 m wide.
 CUBE_M = 2.0**24
 SHIFT_M = 2.0**23
+STEP = 3
 LEVEL = 16
 FINEST = 28
-# Sites are first looked for within this distance (the side of level 14).
-REACH_M = 1024.0
-# A cell with more candidate sites is divided further.
+LEVELS = (0, *range(1, LEVEL + 1, STEP))
+# Sites that a group gathers before they are compared with its bound one by one.
+GATHER_MAX = 4096
+# A group with more candidate sites left than this is divided further.
 LIST_MAX = 256
+# Levels that groups and site cells go down when they are divided.
+DIVIDE = 4
+_FINE = ["fx", "fy", "fz"]
+_ENDS = [f"{a}_{e}" for a in AXES for e in ("lo", "hi")]
 
 
 def _placed(df: DataFrame) -> DataFrame:
+    """Positions in metres and the cells of the finest level."""
     xyz = geo.sphere_xyz("latitude", "longitude")
-    return df.withColumns({a: xyz[a] + SHIFT_M for a in AXES})
+    placed = df.withColumns({a: xyz[a] + SHIFT_M for a in AXES})
+    return placed.withColumns({f: F.floor(F.col(a) * (2.0**FINEST / CUBE_M)).cast("long") for f, a in zip(_FINE, AXES)})
 
 
-def _keys(level: int) -> dict:
-    return {f"c{a}": F.floor(F.col(a) * (2.0**level / CUBE_M)).cast("long") for a in AXES}
+def _cells(level: str, names: list[str] = CELL) -> dict[str, Column]:
+    """Cells of a level, given in SQL, that hold the finest ones."""
+    return {c: F.expr(f"shiftright({f}, cast({FINEST} - ({level}) as int))") for c, f in zip(names, _FINE)}
 
 
-def _lift(columns, up: int, names) -> dict:
-    return {new: F.shiftright(F.col(old), up) for old, new in zip(columns, names)}
+def _gap(low: str, high: str) -> str:
+    """SQL for the square of the least distance of the box a_* to {low}..{high} (of an axis)."""
+    return " + ".join(
+        f"pow(greatest(0D, a_{a}_lo - {high.format(a)}, {low.format(a)} - a_{a}_hi), 2D)" for a in AXES)
 
 
-def _prune(pairs: DataFrame, of: list[str], theirs: dict, reach: float | None = None) -> DataFrame:
-    """Keep the candidates that may be nearest to a point of the cell ``of``.
+def _span(low: str, high: str) -> str:
+    """SQL for the square of the greatest distance between points of the two boxes."""
+    return " + ".join(
+        f"pow(greatest(a_{a}_hi - {low.format(a)}, {high.format(a)} - a_{a}_lo), 2D)" for a in AXES)
 
-    Adds ``m``, the number kept per cell. With ``reach`` a cell whose bound goes
-    beyond what was searched is dropped as not settled.
-    """
-    mine = box_columns("a_")
-    pairs = pairs.withColumns({"_gap": gap_squared(mine, theirs), "_span": span_squared(mine, theirs)})
-    cell = Window.partitionBy(*of)
-    pairs = pairs.withColumn("_bound", F.sqrt(F.min("_span").over(cell)) + 2 * MARGIN_M)
-    if reach is not None:
-        pairs = pairs.filter(F.col("_bound") <= reach)
-    kept = pairs.filter(F.sqrt("_gap") <= F.col("_bound"))
-    return kept.withColumn("m", F.count(F.lit(1)).over(cell)).drop("_gap", "_span", "_bound")
-
-
-def _summaries(points: DataFrame, apart: list[str], level: int) -> DataFrame:
-    """Cells of the points at a level: key, own label, count and box (a_*)."""
-    cells = box_of(points.withColumns(_keys(level)), [*apart, *CELL])
-    names = {f"{a}_{e}": f"a_{a}_{e}" for a in AXES for e in ("lo", "hi")}
-    return cells.withColumnsRenamed(names)
-
-
-def _search_near(cells: DataFrame, sites: DataFrame, apart: list[str], shown: list[str]) -> DataFrame:
-    """Candidates for all cells whose nearest sites lie within REACH_M."""
-    big = ["bx", "by", "bz"]
-    buckets = sites.withColumns(dict(zip(big, _keys(LEVEL - 2).values())))
-    spread = neighbour_cells(
-        buckets, point_box(), big, REACH_M, REACH_M,
-        flat=False, radius=geo.EARTH_RADIUS_M, shift=SHIFT_M,
-    )
-    homes = cells.withColumns(_lift(CELL, 2, big))
-    pairs = homes.join(spread.withColumnsRenamed({c: f"other_{c}" for c in apart}), big)
-    for label in apart:
-        pairs = pairs.filter(F.col(label) != F.col(f"other_{label}"))
-    kept = _prune(pairs, [*apart, *CELL], point_box(), REACH_M)
-    return kept.select(*apart, *CELL, *shown, "m")
+
+def _boxed(prefix: str) -> list[str]:
+    return [f"{prefix}{end}" for end in _ENDS]
+
+
+def _tree(spots: DataFrame, levels: list[int], labels: list[str], gather_max: int, rows: int) -> DataFrame:
+    """Site cells of the levels: number, box (s_*) and, if they are at most ``gather_max``, the sites."""
+    keys = [*labels, "level", *CELL]
+    spread = spots.withColumn("level", F.explode(F.lit(levels))).withColumns(_cells("level"))
+    site = F.struct("site", "lat", "lon", *AXES)
+    renamed = {end: f"s_{end}" for end in _ENDS}
+    if rows <= BROADCAST_ROWS:
+        # A whole catalogue of this size fits one row, so one aggregate does.
+        cells = box_of(spread, keys, near=F.collect_list(site))
+        return cells.withColumn("near", F.when(F.col("n") <= gather_max, F.col("near"))).withColumnsRenamed(renamed)
+    cells = box_of(spread, keys)
+    light = cells.filter(F.col("n") <= gather_max).select(keys)
+    listed = skew_join(spread, light, keys, spread=["lat", "lon"])
+    listed = listed.groupBy(*keys).agg(F.collect_list(site).alias("near"))
+    return cells.join(listed, keys, "left").withColumnsRenamed(renamed)
 
 
-def _search_far(cells: DataFrame, sites: DataFrame, apart: list[str], shown: list[str]) -> DataFrame:
-    """Candidates for cells with no site nearby: both sides from coarse to fine.
+def _homes(points: DataFrame, tree: DataFrame, labels: list[str], small: bool) -> DataFrame:
+    """Point cells of level 16: box (a_*), home level, and the box of a site cell in the home."""
+    cells = box_of(points.withColumns(_cells(str(LEVEL))), [*labels, *CELL])
+    cells = cells.withColumnsRenamed({end: f"a_{end}" for end in _ENDS})
+    up = [f"p{c}" for c in CELL]
+    asked = cells.withColumnsRenamed(dict(zip(CELL, up))).withColumn("level", F.explode(F.lit([x for x in LEVELS if x])))
+    # The cell of each level and its neighbours on the nearer sides, so that no point is cut off by a coarse border.
+    side = F.lit(CUBE_M) / F.pow(F.lit(2.0), "level")
+    for axis, c, u in zip(AXES, CELL, up):
+        own = F.expr(f"shiftright({u}, cast({LEVEL} - level as int))")
+        beside = own + F.when(F.floor(F.col(f"a_{axis}_lo") * 2.0 / side) % 2 == 1, 1).otherwise(-1)
+        asked = asked.withColumn(c, F.explode(F.array(own, beside)))
+    sites = tree.select("level", *CELL, *[F.col(c).alias(f"other_{c}") for c in labels], *_boxed("s_"))
+    met = skew_join(asked, sites, ["level", *CELL], "left", spread=up, small_right=small)
+    hit = F.col("s_x_lo").isNotNull()
+    for label in labels:
+        hit = hit & (F.col(label) != F.col(f"other_{label}"))
+    less = (-F.expr(_span("s_{}_lo", "s_{}_hi"))).alias("less")
+    best = F.max(F.when(hit, F.struct("level", less, *_boxed("s_")))).alias("h")
+    found = met.groupBy(*labels, *up).agg(*[F.first(c).alias(c) for c in _boxed("a_")], best)
+    # The whole cube holds a site, wherever it is.
+    whole = {end: F.lit(0.0 if end.endswith("lo") else CUBE_M) for end in _ENDS}
+    return found.select(
+        *labels, *[F.col(u).alias(c) for u, c in zip(up, CELL)], *_boxed("a_"),
+        F.coalesce("h.level", F.lit(0)).alias("home"),
+        *[F.coalesce(f"h.s_{end}", whole[end]).alias(f"s_{end}") for end in _ENDS])
 
-    Starts with cells of about 1000 km, of which the Earth's surface touches
-    fewer than 2000, and opens only cell pairs that can still hold a nearest site.
+
+def _reached(groups: DataFrame) -> DataFrame:
+    """One row per site cell of level ``home`` within the bound of a group; adds the cell columns."""
+    reach = f"sqrt({_span('s_{}_lo', 's_{}_hi')}) + {2 * MARGIN_M!r}D as _reach"
+    out = groups.selectExpr("*", reach, f"{CUBE_M!r}D / pow(2D, home) as _side")
+    gap = "0D"
+    for a, cell in zip(AXES, CELL):
+        first = f"cast(greatest(0D, floor((a_{a}_lo - _reach) / _side)) as bigint)"
+        last = f"cast(least(pow(2D, home) - 1, floor((a_{a}_hi + _reach) / _side)) as bigint)"
+        gap += f" + pow(greatest(0D, {cell} * _side - a_{a}_hi, a_{a}_lo - {cell} * _side - _side), 2D)"
+        out = out.selectExpr("*", f"explode(sequence({first}, {last})) as {cell}").filter(f"{gap} <= _reach * _reach")
+    return out.drop("_reach", "_side", *_boxed("s_"))
+
+
+def _lists(pairs: DataFrame, keys: list[str], labels: list[str], gather_max: int, list_max: int) -> DataFrame:
+    """Per group: the site cells that may hold a nearest site, and the list of sites if it is short.
+
+    ``pairs``: keys and box (a_*) of the group, one site cell (level, cell, other labels, n, s_*, near).
     """
-    theirs = [f"s{a}" for a in AXES]
-    boxes = {f"{a}_{e}": f"s_{a}_{e}" for a in AXES for e in ("lo", "hi")}
-    others = {c: f"other_{c}" for c in apart}
-    pairs = None
-    for level in (4, 7, 10, 13, 16):
-        up = LEVEL - level
-        mine = cells.withColumns(_lift(CELL, up, CELL))
-        # Boxes of boxes: the same aggregate over the level-16 summaries.
-        sides = []
-        for a in AXES:
-            sides += [F.min(f"a_{a}_lo").alias(f"a_{a}_lo"), F.max(f"a_{a}_hi").alias(f"a_{a}_hi")]
-        mine = mine.groupBy(*apart, *CELL).agg(*sides)
-        site_cells = box_of(sites.withColumns(_keys(level)), [*apart, *CELL])
-        site_cells = site_cells.withColumnsRenamed({**boxes, **others, **dict(zip(CELL, theirs))})
-        step = 4 if level == 4 else 3
-        up_mine = [f"up_{c}" for c in CELL]
-        up_theirs = [f"up_{c}" for c in theirs]
-        mine = mine.withColumns(_lift(CELL, step, up_mine))
-        site_cells = site_cells.withColumns(_lift(theirs, step, up_theirs)).drop("n")
-        if pairs is None:
-            shared = [F.col(f"m.{a}") == F.col(f"s.{b}") for a, b in zip(up_mine, up_theirs)]
-            pairs = mine.alias("m").join(site_cells.alias("s"), shared)
-        else:
-            pairs = pairs.select(
-                *apart, *others.values(),
-                *[F.col(c).alias(u) for c, u in zip(CELL, up_mine)],
-                *[F.col(c).alias(u) for c, u in zip(theirs, up_theirs)],
-            )
-            pairs = pairs.join(mine, [*apart, *up_mine])
-            pairs = pairs.join(site_cells, [*others.values(), *up_theirs])
-        for label in apart:
-            pairs = pairs.filter(F.col(label) != F.col(f"other_{label}"))
-        pairs = _prune(pairs, [*apart, *CELL], box_columns("s_"))
-        pairs = pairs.drop(*up_mine, *up_theirs, "m")
-    placed = sites.withColumns(dict(zip(theirs, _keys(LEVEL).values())))
-    placed = placed.withColumnsRenamed(others)
-    pairs = pairs.join(placed, [*others.values(), *theirs])
-    kept = _prune(pairs, [*apart, *CELL], point_box())
-    return kept.select(*apart, *CELL, *shown, "m")
-
-
-def _pick(
-    points: DataFrame, lists: DataFrame, keys: list[str], unique: list[str], cells: DataFrame,
-    small: bool,
-) -> DataFrame:
-    """Join points with their cell's candidate list and take the closest entry."""
-    joined = skew_join(points, lists, keys, spread=unique, counts=cells, small_right=small)
-    closest = F.array_min(
-        F.transform(
-            "near",
-            lambda s: F.struct(
-                geo.haversine_m(F.col("latitude"), F.col("longitude"), s["lat"], s["lon"]).alias("d"),
-                s["site"].alias("site"), s["lat"].alias("lat"), s["lon"].alias("lon"),
-            ),
-        )
-    )
-    return joined.withColumn("_best", closest).drop("near")
+    cell = ", ".join(f"'{c}', {c}" for c in ("level", *CELL, *[f"other_{c}" for c in labels]))
+    met = pairs.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in _boxed("a_")], F.expr(f"min({_span('s_{}_lo', 's_{}_hi')}) as _span"),
+        F.expr(f"collect_list(named_struct('gap', {_gap('s_{}_lo', 's_{}_hi')}, 'n', s_n, 'cell', named_struct({cell}), 'near', near)) as cells"))
+    margin = f"{2 * MARGIN_M!r}D"
+    met = met.selectExpr("*", f"pow(sqrt(_span) + {margin}, 2D) as _bound").selectExpr(
+        *keys, *_boxed("a_"), "filter(cells, c -> c.gap <= _bound) as cells")
+    # The same bound again, site by site.
+    site = "named_struct('gap', {}, 'span', {}, 's', named_struct('site', s.site, 'lat', s.lat, 'lon', s.lon))".format(
+        _gap("s.{}", "s.{}"), _span("s.{}", "s.{}"))
+    gathered = f"case when aggregate(cells, 0L, (x, c) -> x + c.n) <= {gather_max} then flatten(transform(cells, c -> c.near)) end"
+    met = met.selectExpr(*keys, "cells", f"transform({gathered}, s -> {site}) as near")
+    met = met.selectExpr(*keys, "cells", "near", f"pow(sqrt(array_min(transform(near, s -> s.span))) + {margin}, 2D) as _bound")
+    met = met.selectExpr(*keys, "cells", "transform(filter(near, s -> s.gap <= _bound), s -> s.s) as near")
+    met = met.selectExpr(*keys, "cells", "near", f"near is null or size(near) > {list_max} as busy")
+    return met.selectExpr(
+        *keys, "busy", "case when not busy then near end as near", "case when busy then transform(cells, c -> c.cell) end as cells")
+
+
+def _closest(near: str) -> Column:
+    """The least (distance, site, lat, lon) of a list of sites for the row's latitude and longitude."""
+    chord = ("pow(sin((radians(s.lat) - radians(latitude)) / 2D), 2D)"
+             " + cos(radians(latitude)) * cos(radians(s.lat)) * pow(sin((radians(s.lon) - radians(longitude)) / 2D), 2D)")
+    chords = f"transform({near}, s -> named_struct('a', {chord}, 's', s))"
+    arc = f"atan2(sqrt(c.a), sqrt(greatest(0D, 1D - c.a))) * {2 * geo.EARTH_RADIUS_M!r}D"
+    return F.expr(f"array_min(transform({chords}, c -> named_struct('d', {arc}, 'site', c.s.site, 'lat', c.s.lat, 'lon', c.s.lon)))")
+
+
+def _divided(
+    points: DataFrame, busy: DataFrame, spots: DataFrame, labels: list[str], unique: list[str],
+    gather_max: int, list_max: int, finest: int, rows: int,
+) -> list[DataFrame]:
+    """Closest sites of the points of busy groups: groups and site cells are divided until lists are short."""
+    group = [f"g{c}" for c in CELL]
+    keys = [*labels, "home", "fine", *group]
+    others = [f"other_{c}" for c in labels]
+    at_end = F.col("fine") >= finest
+    facts = {"busy": F.count(F.when(F.col("busy"), 1)), "ended": F.count(F.when(F.col("busy") & at_end, 1))}
+    parts: list[DataFrame] = []
+    levels = list(LEVELS)
+    open_, seen = materialize_with(busy.select(*keys, "busy", "cells"), "open", **facts)
+    while seen["busy"]:
+        if seen["ended"]:
+            # Groups too small to divide are compared row by row, with sites all but equally far from them.
+            last = open_.filter(at_end & F.col("busy")).select(*keys, F.inline("cells"))
+            sites = spots.withColumn("level", F.explode(F.lit(levels))).withColumns(_cells("level"))
+            sites = sites.withColumnsRenamed(dict(zip(labels, others))).select("level", *CELL, *others, "site", "lat", "lon")
+            pairs = last.join(sites, ["level", *CELL, *others]).select(*keys, "site", "lat", "lon")
+            distance = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
+            best = points.join(pairs, keys).groupBy(*unique).agg(
+                F.min(F.struct(distance.alias("d"), "site", "lat", "lon")).alias("_best"))
+            parts.append(points.join(best, unique))
+        if seen["busy"] == seen["ended"]:
+            break
+        open_ = open_.filter(~at_end & F.col("busy"))
+        old = [f"o{c}" for c in group]
+        inside = skew_join(points, open_.select(*keys), keys, spread=unique).withColumnsRenamed(dict(zip(group, old)))
+        inside = inside.withColumns({"was": F.col("fine"), "fine": F.least(F.col("fine") + DIVIDE, F.lit(FINEST))})
+        inside = materialize(inside.withColumns(_cells("fine", group)), "inside")
+        points = inside.drop("was", *old)
+        kids = box_of(inside, [*keys, "was", *old]).withColumnsRenamed({end: f"a_{end}" for end in _ENDS}).drop("n")
+        wide = [f"w{c}" for c in CELL]
+        above = open_.select(*labels, "home", F.col("fine").alias("was"), *[F.col(g).alias(o) for g, o in zip(group, old)], F.inline("cells"))
+        above = above.withColumnsRenamed(dict(zip(CELL, wide)))
+        down = {x: min(x + DIVIDE, FINEST) for x in levels}
+        levels = sorted(set(down.values()))
+        tree = _tree(spots, levels, labels, gather_max, rows).withColumnsRenamed({**dict(zip(labels, others)), "n": "s_n", "level": "_level"})
+        # The cells above: DIVIDE levels up, or fewer where the finest level was reached.
+        steps = F.array(*[F.struct(F.lit(x).alias("level"), F.lit(y).alias("to")) for x, y in down.items()])
+        tree = tree.withColumn("_up", F.explode(F.filter(steps, lambda t: t["to"] == F.col("_level"))))
+        tree = tree.withColumn("level", F.col("_up.level")).withColumns(
+            {w: F.expr(f"shiftright({c}, cast(_level - level as int))") for w, c in zip(wide, CELL)}).drop("_up")
+        pairs = kids.join(above, [*labels, "home", "was", *old])
+        pairs = pairs.join(tree, ["level", *wide, *others]).withColumn("level", F.col("_level"))
+        open_, seen = materialize_with(_lists(pairs, keys, labels, gather_max, list_max), "near", **facts)
+        few = True if seen["rows"] <= BROADCAST_ROWS else None
+        parts.append(_picked(points, open_.filter("not busy"), keys, unique, few))
+    return parts
+
+
+def _picked(points: DataFrame, lists: DataFrame, keys: list[str], unique: list[str], small: bool | None) -> DataFrame:
+    joined = skew_join(points, lists.select(*keys, "near"), keys, spread=unique, small_right=small)
+    return joined.withColumn("_best", _closest("near")).drop("near")
 
 
 def nearest_site(
@@ -164,9 +232,10 @@ def nearest_site(
 
     Equal distances go to the least site id as text. ``unique`` is a key of the
     points. With ``apart`` only sites that differ from the point in that column
-    count. Points whose coordinates are null or NaN are left out.
+    count; points no site differs from are left out, and so are points whose coordinates are null or NaN.
     """
     list_max = LIST_MAX if list_max is None else list_max
+    gather_max = max(list_max, GATHER_MAX * list_max // LIST_MAX)
     finest = FINEST if finest is None else finest
     labels = [apart] if apart else []
     given = points.columns
@@ -176,65 +245,41 @@ def nearest_site(
         F.min(F.col(site_id).cast("string")).alias("site")
     )
     spots, count = materialize_with(
-        _placed(spots).withColumns({"lat": F.col("latitude"), "lon": F.col("longitude")})
-        .drop("latitude", "longitude"), "sites",
-    )
+        _placed(spots).withColumnsRenamed({"latitude": "lat", "longitude": "lon"}), "sites")
     if not count["rows"]:
         raise ValueError("the site catalogue has no valid site")
+    tree, cells = materialize_with(_tree(spots, list(LEVELS), labels, gather_max, count["rows"]), "tree")
+    few = cells["rows"] <= BROADCAST_ROWS
     known = [F.nanvl(F.col(c).cast("double"), F.lit(None)).isNotNull() for c in ("latitude", "longitude")]
     placed = _placed(points.filter(known[0] & known[1]))
-    keys = [*labels, *CELL]
-    shown = ["site", "lat", "lon"]
-    cells = materialize(_summaries(placed, labels, LEVEL), "cells")
-    facts = {"most": F.max("m")}
-    found, seen = materialize_with(_search_near(cells, spots, labels, shown), "near", **facts)
-    missing, left = materialize_with(
-        cells.join(found.select(*keys).distinct(), keys, "left_anti"), "missing")
-    if left["rows"]:
-        far = _search_far(missing, spots, labels, shown)
-        found, seen = materialize_with(found.unionByName(far), "near", **facts)
-
-    entry = F.struct("site", "lat", "lon")
-    parts = []
-    level, part_points = LEVEL, placed
-    while True:
-        crowded = found.filter(F.col("m") > list_max)
-        busy = (seen["most"] or 0) > list_max
-        lists = found.filter(F.col("m") <= list_max) if busy else found
-        lists = lists.groupBy(*keys).agg(F.collect_list(entry).alias("near"))
-        keyed = part_points.withColumns(_keys(level))
-        small = seen["rows"] <= BROADCAST_ROWS
-        parts.append(_pick(keyed, lists, keys, unique, cells, small).drop(*CELL))
-        if not busy:
-            break
-        # Crowded cells: keep their points, divide the cells and let the parts
-        # inherit the candidates of the whole.
-        full_cells = crowded.select(*keys).distinct()
-        rest = skew_join(keyed, full_cells, keys, spread=unique, counts=cells)
-        part_points = materialize(rest.drop(*CELL), "crowded")
-        if level >= finest:
-            # Sites all but equally far from a speck of points: compare row by row.
-            keyed = part_points.withColumns(_keys(level))
-            pairs = keyed.join(crowded.select(*keys, *shown), keys).drop(*CELL)
-            distance = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
-            best = pairs.groupBy(*unique).agg(
-                F.min(F.struct(distance.alias("d"), "site", "lat", "lon")).alias("_best")
-            )
-            parts.append(part_points.join(best, unique))
-            break
-        finer = level + 3
-        up = [f"up_{c}" for c in CELL]
-        cells = materialize(_summaries(part_points, labels, finer), "cells")
-        kids = cells.withColumns(_lift(CELL, 3, up))
-        inherited = crowded.select(*labels, *[F.col(c).alias(u) for c, u in zip(CELL, up)], *shown)
-        # Site positions again as x, y, z for the box tests.
-        xyz = geo.sphere_xyz("lat", "lon")
-        inherited = inherited.withColumns({a: xyz[a] + SHIFT_M for a in AXES})
-        pairs = kids.join(inherited, [*labels, *up]).drop(*up)
-        found, seen = materialize_with(
-            _prune(pairs, keys, point_box()).select(*keys, *shown, "m"), "near", **facts
-        )
-        level = finer
+    homes, seen = materialize_with(_homes(placed, tree, labels, few), "homes")
+    group = [f"g{c}" for c in CELL]
+    keys = [*labels, "home", "fine", *group]
+    fine = F.least(F.col("home") + STEP, F.lit(LEVEL)).alias("fine")
+    homes = homes.select("*", fine).withColumns({
+        g: F.expr(f"shiftright({c}, cast({LEVEL} - fine as int))") for g, c in zip(group, CELL)})
+    sides = []
+    for a in AXES:
+        sides += [F.min(f"a_{a}_lo").alias(f"a_{a}_lo"), F.max(f"a_{a}_hi").alias(f"a_{a}_hi")]
+    groups = homes.groupBy(*keys).agg(*sides, *[F.first(c).alias(c) for c in _boxed("s_")])
+    asked = _reached(groups).withColumn("level", F.col("home"))
+    theirs = tree.withColumnsRenamed({**{c: f"other_{c}" for c in labels}, "n": "s_n"})
+    pairs = asked.join(F.broadcast(theirs) if few else theirs, ["level", *CELL])
+    for label in labels:
+        pairs = pairs.filter(F.col(label) != F.col(f"other_{label}"))
+    lists, facts = materialize_with(_lists(pairs, keys, labels, gather_max, list_max), "lists", busy=F.count(F.when(F.col("busy"), 1)))
+
+    # Points find their group by the cell of level 16, then the list of the group.
+    keyed = placed.withColumns(_cells(str(LEVEL)))
+    named = homes.select(*labels, *CELL, "home", "fine", *group)
+    keyed = skew_join(keyed, named, [*labels, *CELL], spread=unique, small_right=True if seen["rows"] <= BROADCAST_ROWS else None)
+    keyed = keyed.drop(*CELL)
+    small = True if facts["rows"] <= BROADCAST_ROWS else None
+    parts = [_picked(keyed, lists.filter("not busy") if facts["busy"] else lists, keys, unique, small)]
+    if facts["busy"]:
+        crowd = skew_join(keyed, lists.filter("busy").select(*keys), keys, spread=unique)
+        parts += _divided(
+            materialize(crowd, "crowd"), lists.filter("busy"), spots, labels, unique, gather_max, list_max, finest, count["rows"])
     whole = parts[0].select(*given, "_best")
     for part in parts[1:]:
         whole = whole.unionByName(part.select(*given, "_best"))

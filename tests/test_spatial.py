@@ -110,6 +110,28 @@ def test_nearest_matches_brute_force(spark, limits):
     assert got[len(points) - 1].nearest_SUP_ID == "a-copy"
 
 
+def test_nearest_among_many_sites_in_one_cell(spark):
+    """10^5 sites within one kilometre, points inside, near and far: no windows, and brute force agrees."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n = 100_000
+    la, lo = 48.8 + rng.uniform(0, 0.009, n), 2.1 + rng.uniform(0, 0.013, n)
+    px = np.concatenate([48.8 + rng.uniform(-0.002, 0.011, 150), rng.uniform(-80, 80, 20)])
+    py = np.concatenate([2.1 + rng.uniform(-0.002, 0.015, 150), rng.uniform(-180, 180, 20)])
+    import pandas as pd
+
+    catalogue = spark.createDataFrame(pd.DataFrame({"SUP_ID": [f"s{i}" for i in range(n)], "latitude": la, "longitude": lo}))
+    points = spark.createDataFrame(pd.DataFrame({"id": range(len(px)), "latitude": px, "longitude": py}))
+    found = nearest_site(points, catalogue, ["id"])
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.nearest_ANFR_distance_m for r in found.collect()}
+    for i, (a, b) in enumerate(zip(np.radians(px), np.radians(py))):
+        h = np.sin((np.radians(la) - a) / 2) ** 2 + np.cos(a) * np.cos(np.radians(la)) * np.sin((np.radians(lo) - b) / 2) ** 2
+        want = (2 * 6371008.8 * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0, 1 - h)))).min()
+        assert got[i] == pytest.approx(want, abs=1e-5)
+
+
 def test_nearest_of_another_label(spark):
     rng = random.Random(9)
     rows = [(f"s{i:02d}", rng.choice(["train", "val", "test"]), la, lo)
