@@ -181,7 +181,9 @@ def image_reference_match(t):
     return found.select("image_no", "filename", F.col("SUP_ID").alias("sup_id"))
 
 
-IMAGE_SITES = "select concat('site_', cast(c_custkey as varchar(20)), '.jpg') as image, case when c_custkey % 3 > 0 then cast(c_custkey as varchar(20)) end as sup_id from customer where c_custkey % 7 > 0"
+# Every customer is a listed image; those of every seventh have another name, so their predictions are unlisted.
+IMAGE_SITES = """select concat(case when c_custkey % 7 > 0 then 'site_' else 'plan_' end, cast(c_custkey as varchar(20)), '.jpg') as image,
+ case when c_custkey % 3 > 0 then cast(c_custkey as varchar(20)) end as sup_id from customer"""
 OFFSET_SQL = "round_even(sqrt(power(((p.x1+p.x2)/2e0-512e0)*(100e0/1024e0),2)+power(((p.y1+p.y2)/2e0-512e0)*(100e0/1024e0),2)), 2)"
 
 
