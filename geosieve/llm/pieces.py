@@ -11,7 +11,8 @@ The vocabulary is any SentencePiece model file (a parameter). Scores that are lo
 they stand. A file of merge ranks (whole numbers, as of byte-pair encoding) has none, so ``estimate``
 learns them over all texts: distinct words are counted, and ``ROUNDS`` rounds of expectation-maximisation
 count how often each piece is expected over all segmentations of all words. A piece keeps its number;
-``PRIOR`` expected uses are added to each. If no piece holds a marker after another character, words are segmented one by one and a task
+``PRIOR`` expected uses are added to each. Words of one length are segmented together by array operations
+(``lattice``). If no piece holds a marker after another character, words are segmented one by one and a task
 remembers up to ``REMEMBERED`` of them; else a text is one segment.
 
 Scale: encoding is one scan without shuffle; the trie (bounded by the vocabulary) is broadcast. To learn
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geosieve.llm.arrays import pieces as cut
+from geosieve.llm.lattice import LONGEST, WORDS, Lattice, by_length
 from geosieve.llm.tables import map_arrow, written
 
 MARK = "▁"
@@ -120,11 +122,17 @@ class Pieces:
 
     def score(self, scores: list[float]) -> Pieces:
         """Take ``scores`` for those of the pieces."""
-        self.scores, self.known = scores, {}
+        self.scores, self.known, self._lattice = scores, {}, None
         self.least = min((s for s, n in zip(scores, self.normal) if n and s > LAST), default=0.0) - UNKNOWN_COST
         self.gain = [scores[i] if i >= 0 else 2 * NONE for i in self.trie.value]
         return self
 
+    @property
+    def lattice(self) -> Lattice:
+        if self._lattice is None:
+            self._lattice = Lattice(self.trie.base, self.trie.check, self.trie.value, self.gain, self.least)
+        return self._lattice
+
     def ranked(self) -> bool:
         """Whether the scores are merge ranks, not log-probabilities."""
         return all(float(s).is_integer() for s, n in zip(self.scores, self.normal) if n)
@@ -233,23 +241,34 @@ class Pieces:
                 ids += self.segment(part.replace(MARK, "￿").replace(" ", MARK))
         return np.array(ids, dtype=np.int32).tobytes()
 
+    def _learn(self, words: set[str]) -> None:
+        """Segment words and remember them: those of one length together, odd and long ones one by one."""
+        plain: list[str] = []
+        for word in words:
+            if len(word) > LONGEST or MARK in word or "\uffff" in word:
+                self.known[word] = self._marked(word)
+            else:
+                plain.append(word)
+        raw = [w.replace(" ", MARK).encode("utf-8", "surrogatepass") for w in plain]
+        for rows, data in by_length(raw, max(map(len, raw), default=0)):
+            for i, ids in zip(rows.tolist(), self.lattice.best(data)):
+                self.known[plain[i]] = self._marked(plain[i]) if ids is None else ids
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Token ids of texts, each as the bytes of 32-bit integers."""
+        if not self.by_word:
+            return [self._marked(" " + t) if t else b"" for t in texts]
+        rows = [self.words(t) if t else [] for t in texts]
+        new = {w for row in rows for w in row if w not in self.known}
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = {w for row in rows for w in row}
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, row)) for row in rows]
+
     def encode(self, text: str) -> bytes:
         """Token ids of a text, as the bytes of 32-bit integers."""
-        if not text:
-            return b""
-        if not self.by_word:
-            return self._marked(" " + text)
-        known, out = self.known, []
-        for word in self.words(text):
-            got = known.get(word)
-            if got is None:
-                got = self._marked(word)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(word) <= 64:
-                    known[word] = got
-            out.append(got)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes
@@ -257,7 +276,7 @@ class Pieces:
         return out[1:] if out.startswith(" ") else out
 
     def __getstate__(self):
-        return {**self.__dict__, "known": {}}
+        return {**self.__dict__, "known": {}, "_lattice": None}
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -322,14 +341,32 @@ def estimate(docs: DataFrame, text_col: str = "text", model: str = MODEL, rounds
 
 
 def _expected(counts: DataFrame, shared) -> DataFrame:
+    def add(own: Pieces, words: list[bytes], times: np.ndarray, total: np.ndarray) -> None:
+        mark, odd = MARK.encode(), "\uffff".encode()
+        plain = [b"" if mark in w or odd in w else w.replace(b" ", mark) for w in words]
+        for rows, data in by_length(plain, LONGEST):
+            own.lattice.expect(data, times[rows], UNIT, total)
+        for i, word in enumerate(plain):
+            if not word or len(word) > LONGEST:
+                for piece, share in own.expected(words[i].decode("utf-8", "surrogatepass")).items():
+                    total[piece] += int(times[i]) * round(share * UNIT)
+
     def work(batches):
-        own, total = shared.value, {}
+        own = shared.value
+        total = np.zeros(len(own.scores), np.int64)
+        words: list[bytes] = []
+        times: list[np.ndarray] = []
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                for piece, times in own.expected(word.decode("utf-8", "surrogatepass")).items():
-                    total[piece] = total.get(piece, 0) + n * round(times * UNIT)
+            words += batch.column("word").to_pylist()
+            times.append(batch.column("n").to_numpy())
+            if len(words) >= WORDS:
+                add(own, words, np.concatenate(times), total)
+                words, times = [], []
+        if words:
+            add(own, words, np.concatenate(times), total)
+        some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([str(n) for n in total.values()], pa.string())], names=["piece", "n"])
+            [pa.array(some.astype(np.int32)), pa.array([str(n) for n in total[some].tolist()], pa.string())], names=["piece", "n"])
 
     return map_arrow(counts, work, "piece int, n string").groupBy("piece").agg(
         F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n"))
@@ -342,7 +379,7 @@ def _share(df: DataFrame, path: str, text_col: str | None = None):
 
 
 def _token_lists(own: Pieces, texts: list[str | None]) -> pa.ListArray:
-    ids = [own.encode(t or "") for t in texts]
+    ids = own.encode_all([t or "" for t in texts])
     ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
     mask = pa.array([t is None for t in texts])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=mask)

@@ -264,3 +264,39 @@ def test_words_are_whole_at_slice_borders(monkeypatch):
     for w, n in variants.text_words(1, text, 1 << 40, 6):
         got[w] += n
     assert got == {b"abcdefghij": 3, b"klmnopq": 3, b"rstuvw": 3, b"x" * 40: 1}
+
+
+# ---- segmentation lattices ---------------------------------------------------------------
+
+
+def test_lattices_agree_with_word_by_word_segmentation():
+    import numpy as np
+
+    from geosieve.llm import pieces
+
+    own, rng = pieces.load(), random.Random(12)
+    own.score([-(3 + rng.random() * 14) if ok else 0.0 for ok in own.normal])
+    words = [" " + "".join(rng.choices("abceinorstуж漢é😀.-", k=rng.randint(0, 9))) for _ in range(800)]
+    words += ["   ", " a▁b", " ￿x", " 漢" * 20, "x" * 90]
+    own._learn(set(words))
+    assert all(own.known[w] == own._marked(w) for w in words)
+    total, want = np.zeros(len(own.scores), np.int64), np.zeros(len(own.scores))
+    raw = [w.replace(" ", pieces.MARK).encode() for w in words[:300]]
+    for rows, data in pieces.by_length(raw, pieces.LONGEST):
+        own.lattice.expect(data, np.full(len(rows), 3), pieces.UNIT, total)
+    for word, data in zip(words[:300], raw):
+        if len(data) <= pieces.LONGEST:
+            for piece, share in own.expected(word).items():
+                want[piece] += 3 * share
+    assert np.allclose(total / pieces.UNIT, want, atol=1e-3)
+
+
+def test_two_tables_of_one_vocabulary_give_equal_ids(spark):
+    """Scores are those of the table; texts that stand in both get the same ids in whatever order or parts."""
+    from geosieve.llm import pieces
+
+    rows = [(i, f"some words are here {i % 7} and there") for i in range(40)]
+    a = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)
+    found = [sorted((r.doc_id, r.tokens) for r in pieces.encode(df).collect()) for df in (a, b)]
+    assert found[0] == found[1]
