@@ -372,9 +372,23 @@ def _expected(counts: DataFrame, shared) -> DataFrame:
         F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n"))
 
 
-def _share(df: DataFrame, path: str, text_col: str | None = None):
-    """The broadcast pieces, scored over the texts of ``df`` if the file has no log-probabilities."""
-    own = load(path) if text_col is None else estimate(df, text_col, path)
+def scores_table(spark: SparkSession, own: Pieces) -> DataFrame:
+    """(piece, score): the scores of a vocabulary as a table, to be written and used again."""
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(own.scores)], "piece int, score double")
+
+
+def with_scores(table: DataFrame, model: str = MODEL) -> Pieces:
+    """The pieces of ``model`` with the scores of such a table (one row a piece)."""
+    own = load(model)
+    rows = {r["piece"]: r["score"] for r in table.collect()}
+    if sorted(rows) != list(range(len(own.scores))):
+        raise ValueError("the table has other pieces than the model")
+    return own.score([rows[i] for i in range(len(rows))])
+
+
+def _share(df: DataFrame, path: str, text_col: str | None = None, own: Pieces | None = None):
+    """The broadcast pieces: those given, or scored over the texts of ``df`` if the file has no log-probabilities."""
+    own = own or (load(path) if text_col is None else estimate(df, text_col, path))
     return df.sparkSession.sparkContext.broadcast(own)
 
 
@@ -391,9 +405,15 @@ def _texts(own: Pieces, tokens: pa.ListArray) -> list[str | None]:
             for a, b, ok in zip(ends[:-1], ends[1:], tokens.is_valid().to_pylist())]
 
 
-def encode(df: DataFrame, text_col: str = "text", out_col: str = "tokens", model: str = MODEL) -> DataFrame:
-    """``df`` with the token ids of ``text_col`` in ``out_col``."""
-    shared = _share(df, model, text_col)
+def encode(
+    df: DataFrame, text_col: str = "text", out_col: str = "tokens", model: str = MODEL, own: Pieces | None = None,
+) -> DataFrame:
+    """``df`` with the token ids of ``text_col`` in ``out_col``.
+
+    With ``own``, the pieces of ``estimate`` or ``with_scores``, any table is encoded alike; without it the
+    scores are learned from this one if the model file has none.
+    """
+    shared = _share(df, model, text_col, own)
 
     def work(batches):
         own = shared.value
@@ -421,9 +441,11 @@ def decode(df: DataFrame, tokens_col: str = "tokens", out_col: str = "decoded",
     return map_arrow(df.drop(out_col), work, schema)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def round_trip(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, own: Pieces | None = None,
+) -> DataFrame:
     """(id, n_tokens, tokens, decoded, same) of each row; ``same``: decoding gave the text back."""
-    shared = _share(docs, model, text_col)
+    shared = _share(docs, model, text_col, own)
 
     def work(batches):
         own = shared.value

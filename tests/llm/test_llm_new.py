@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -270,8 +271,6 @@ def test_words_are_whole_at_slice_borders(monkeypatch):
 
 
 def test_lattices_agree_with_word_by_word_segmentation():
-    import numpy as np
-
     from geosieve.llm import pieces
 
     own, rng = pieces.load(), random.Random(12)
@@ -291,12 +290,14 @@ def test_lattices_agree_with_word_by_word_segmentation():
     assert np.allclose(total / pieces.UNIT, want, atol=1e-3)
 
 
-def test_two_tables_of_one_vocabulary_give_equal_ids(spark):
-    """Scores are those of the table; texts that stand in both get the same ids in whatever order or parts."""
+def test_saved_scores_give_equal_ids_in_any_table(spark, tmp_path):
     from geosieve.llm import pieces
 
     rows = [(i, f"some words are here {i % 7} and there") for i in range(40)]
-    a = spark.createDataFrame(rows, "doc_id long, text string")
-    b = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)
-    found = [sorted((r.doc_id, r.tokens) for r in pieces.encode(df).collect()) for df in (a, b)]
-    assert found[0] == found[1]
+    learned = pieces.estimate(spark.createDataFrame(rows, "doc_id long, text string"))
+    pieces.scores_table(spark, learned).write.parquet(str(tmp_path / "scores"))
+    own = pieces.with_scores(spark.read.parquet(str(tmp_path / "scores")))
+    other = spark.createDataFrame(rows[:3] + [(90, "quite another text"), (91, None)], "doc_id long, text string")
+    found = {r.doc_id: r.tokens for r in pieces.encode(other, own=own).collect()}
+    assert [found[i] for i in range(3)] == [list(np.frombuffer(learned.encode(rows[i][1]), np.int32)) for i in range(3)]
+    assert found[91] is None and pieces.round_trip(other, own=own).filter("not same").count() == 0
