@@ -38,6 +38,7 @@ from geosieve.llm.tables import BROADCAST_ROWS, map_arrow, written, written_with
 from geosieve.operators.spread import rank_rows, skew_join
 
 LIMIT = 1 << 17  # nodes of a shard
+LEAST = 1 << 8
 BAND = 256  # levels of a shard of heavy nodes
 QUEUE = 1 << 16  # messages in memory
 BEGINNING = 256  # code points of a text that order rows of one turn
@@ -252,13 +253,19 @@ def settle(nodes: DataFrame, paths: DataFrame, span: int, limit: int, band: int,
 
 
 def prefix_trie(
-    conversations: DataFrame, *, limit: int = LIMIT, band: int = BAND, queue: int = QUEUE,
+    conversations: DataFrame, *, limit: int | None = None, band: int = BAND, queue: int = QUEUE,
 ) -> DataFrame:
-    """One row per node of the trie of rebuilt conversations (conv_id, turn, role, text)."""
+    """One row per node of the trie of rebuilt conversations (conv_id, turn, role, text).
+
+    ``limit`` is by default an eighth of a task's share of the turns, from ``LEAST`` to ``LIMIT``.
+    """
     convs, turns = rebuilt(conversations)
     convs = written(convs, "sizes")
-    turns = written(skew_join(turns, convs, ["conv_id"], spread=["depth"]).withColumns(
+    turns, facts = written_with(skew_join(turns, convs, ["conv_id"], spread=["depth"]).withColumns(
         {"q1": F.col("p1").bitwiseXOR(F.col("t1")), "q2": F.col("p2").bitwiseXOR(F.col("t2"))}).drop("t1", "t2"), "prefixes")
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = limit or LIMIT
+    limit = limit or max(LEAST, min(LIMIT, facts["rows"] // (8 * tasks)))
     same = [F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")]
     nodes = turns.groupBy(*KEY).agg(
         *same, F.max("chars").alias("chars"), F.first("q1").alias("q1"), F.first("q2").alias("q2"),
@@ -284,12 +291,11 @@ def prefix_trie(
     tops = light.groupBy("conv_id").agg(F.min(F.struct(*KEY)).alias("r")).select(
         "conv_id", F.col("r.depth").alias("from"), F.xxhash64("r.p1", "r.p2").alias("shard"))
     below = skew_join(nodes.filter("not big").drop("big"), tops, ["conv_id"], spread=["depth"])
-    parts = int((seen["rows"] - seen["big"]) * 4 // limit) + 1
     below = below.withColumn("top", F.col("depth") == F.col("from")).drop("from")
-    spread = max(parts, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    below = written(sweep(below, spread, 1, queue), "light")
+    parts = max(tasks, int((seen["rows"] - seen["big"]) // most) + 1)
+    below = written(sweep(below, parts, 1, queue), "light")
     messages = _messages(below.filter("top").withColumn("span", F.lit(1)))
-    above = settle(_receive(heavy, messages), paths, 1, limit, band, queue)
+    above = settle(_receive(heavy, messages), paths, 1, most, band, queue)
     return _named(below.drop("shard", "top").unionByName(above.drop("shard", "top")))
 
 
