@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from geosieve.functions import geo
 from geosieve.operators.spread import (
-    BROADCAST_ROWS, HOT_ROWS, materialize, materialize_with,
+    BROADCAST_ROWS, HOT_ROWS, materialize, materialize_with, skew_join,
 )
 
 AXES = ("x", "y", "z")
@@ -30,6 +30,9 @@ CELL = ["cx", "cy", "cz"]
 MARGIN_M = 1e-6
 # An undecided cell pair is opened when it has no more point pairs than this.
 OPEN_PAIRS = 1024
+# Cells are not halved below this side: pairs still undecided there are compared in blocks of points.
+FINEST_M = 0.02
+BLOCK = 512
 
 
 def cell_columns(side: float, level: int = 0) -> list[Column]:
@@ -149,6 +152,7 @@ class PairLevel:
     full: DataFrame
     open: DataFrame
     n_open: int
+    last: bool = False
 
 
 @dataclass
@@ -167,13 +171,13 @@ def _pair_side(nodes: DataFrame, group: list[str], tag: str, root: bool) -> Data
     )
 
 
-def _judge(pairs: DataFrame, metric: Metric, open_pairs: int) -> DataFrame:
+def _judge(pairs: DataFrame, metric: Metric, open_pairs: int, last: bool) -> DataFrame:
     a, b = box_columns("a_"), box_columns("b_")
     gap, span = gap_squared(a, b), span_squared(a, b)
     inside = max(0.0, metric.chord - MARGIN_M)
     state = (
         F.when(span <= inside * inside, "full")
-        .when(F.col("a_n") * F.col("b_n") <= open_pairs, "open")
+        .when(F.lit(last) | (F.col("a_n") * F.col("b_n") <= open_pairs), "open")
         .otherwise("split")
     )
     return pairs.filter(gap <= (metric.chord + MARGIN_M) ** 2).withColumn("state", state)
@@ -215,20 +219,21 @@ def near_pairs(
     right = right.withColumns({t: F.col(f"b_{c}") for t, c in zip(aim, CELL)})
     if count["rows"] <= BROADCAST_ROWS:
         right = F.broadcast(right)
-    pairs = _judge(left.join(right, [*group, *aim]).drop(*aim), metric, open_pairs)
-    level = 0
+    level, last = 0, side <= FINEST_M
+    pairs = _judge(left.join(right, [*group, *aim]).drop(*aim), metric, open_pairs, last)
     while True:
         states = {s: F.count(F.when(F.col("state") == s, 1)) for s in ("open", "split")}
         pairs, seen = materialize_with(pairs, "pairs", **states)
         full = pairs.filter(F.col("state") == "full")
         still_open = pairs.filter(F.col("state") == "open")
-        result.levels.append(PairLevel(level, cells, full, still_open, seen["open"]))
+        result.levels.append(PairLevel(level, cells, full, still_open, seen["open"], last))
         split = pairs.filter(F.col("state") == "split")
         if not seen["split"]:
             return result
         # Halve both cells of every pair still undecided. Only cell summaries
         # are joined: at most eight children per cell.
         level += 1
+        last = side / 2.0**level <= FINEST_M
         cells = materialize(summarise(level), "cells")
         up = {f"up_{c}": F.shiftright(F.col(c), 1) for c in CELL}
         roots = ["a_vertex", "b_vertex"] if half else []
@@ -244,7 +249,7 @@ def near_pairs(
             split = split.withColumnsRenamed({f"{tag}_{c}": f"old_{c}" for c in CELL})
             split = split.join(kids, [*group, *[f"old_{c}" for c in CELL]])
             split = split.drop(*[f"old_{c}" for c in CELL])
-        pairs = _judge(split, metric, open_pairs)
+        pairs = _judge(split, metric, open_pairs, last)
 
 
 def opened(found: NearPairs, step: PairLevel, positions: DataFrame, metric: Metric) -> DataFrame:
@@ -258,6 +263,16 @@ def opened(found: NearPairs, step: PairLevel, positions: DataFrame, metric: Metr
     keys = [*found.group, *CELL]
     pairs = step.open
     points = positions.withColumns(dict(zip(CELL, cell_columns(found.side, step.level))))
+    salt: list[str] = []
+    if step.last:
+        # Cells of any number of points: blocks of each meet blocks of the other.
+        salt = ["salt"]
+        counts = step.cells.select(*keys, F.col("n").alias("_n"))
+        points = skew_join(points, counts, keys, spread=["id"])
+        points = points.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / BLOCK))).drop("_n")
+        for tag in "ab":
+            last_block = F.ceil(F.col(f"{tag}_n") / BLOCK) - 1
+            pairs = pairs.withColumn(f"{tag}_salt", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
     if 2 * step.n_open <= BROADCAST_ROWS:
         sides = [
             pairs.select(*found.group, *[F.col(f"{t}_{c}").alias(c) for c in CELL]) for t in "ab"
@@ -269,11 +284,11 @@ def opened(found: NearPairs, step: PairLevel, positions: DataFrame, metric: Metr
         points = points.join(F.broadcast(hot), keys, "left_anti")
 
     def side(tag: str, name: str) -> DataFrame:
-        renamed = {c: f"{name}_{c}" for c in points.columns if c not in keys}
-        return points.withColumnsRenamed({**renamed, **{c: f"{tag}_{c}" for c in CELL}})
+        renamed = {c: f"{name}_{c}" for c in points.columns if c not in [*keys, *salt]}
+        return points.withColumnsRenamed({**renamed, **{c: f"{tag}_{c}" for c in [*CELL, *salt]}})
 
     near = gap_squared(point_box("p_"), box_columns("b_")) <= (metric.chord + MARGIN_M) ** 2
-    first = pairs.join(side("a", "p"), [*found.group, *[f"a_{c}" for c in CELL]]).filter(near)
-    both = first.join(side("b", "q"), [*found.group, *[f"b_{c}" for c in CELL]])
+    first = pairs.join(side("a", "p"), [*found.group, *[f"a_{c}" for c in [*CELL, *salt]]]).filter(near)
+    both = first.join(side("b", "q"), [*found.group, *[f"b_{c}" for c in [*CELL, *salt]]])
     exact = metric.within(lambda c: F.col(f"p_{c}"), lambda c: F.col(f"q_{c}"))
     return both.filter(exact)

@@ -88,6 +88,21 @@ def test_components_with_joins_beyond_broadcast(spark, monkeypatch):
     assert len({r.root for r in got}) == 2
 
 
+def test_crowds_at_exactly_the_limit(spark):
+    """Two specks of a micrometre whose distance is the limit: halving cells would not end."""
+    rng = random.Random(12)
+    step = math.degrees(30.0 / 6371008.8)
+    speck = lambda la: {(la + rng.uniform(-1e-11, 1e-11), 2.1 + rng.uniform(-1e-11, 1e-11)) for _ in range(700)}
+    points = sorted(speck(48.8)) + sorted(speck(48.8 + step))
+    df = frame(spark, points)
+    got = {r.id: r.n for r in count_within(df, "id", Metric(30.0), name="n").collect()}
+    near = [sum(haversine(p, q) <= 30.0 for q in points) for p in points[::40]]
+    assert [got[i] for i in range(0, len(points), 40)] == near and len(set(near)) > 1
+    groups = close_groups(df, "id", Metric(30.0))
+    labels = {r.id: r.component for r in label_groups(df, "id", groups, Metric(30.0)).collect()}
+    assert set(labels.values()) == {0}
+
+
 def best_site(p, sites):
     return min((haversine(p, (la, lo)), s) for s, la, lo in sites)
 
