@@ -280,6 +280,23 @@ def sink_detection_json(t):
     ).select("image", "part", "ground_m", "place", "item.*")
 
 
+@query("sink_detection_stream", """
+select image, pred_id, confidence, x1, count(*) over (partition by image) as n, 100e0 as ground_m from predictions
+""")
+def sink_detection_stream(t):
+    path = scratch_path(t.spark, "documents")
+    writers.write_detection_documents(t.predictions, ["pred_id", "confidence", "x1"], "pred_id", path)
+    lines = t.spark.read.text(path)
+    item = F.from_json(F.ltrim(F.lit(","), F.col("value")), "pred_id bigint, confidence double, x1 double")
+    items = lines.filter(F.col("value").rlike("^,?[{].*[}]$")).select("image", item.alias("d")).select("image", "d.*")
+    # The head opens the document of each image, the end closes it.
+    heads = lines.filter(F.col("value").endswith(":[")).select("image", F.get_json_object(
+        F.concat("value", F.lit("]}")), "$.image_size_meters").cast("double").alias("ground_m"))
+    ends = lines.filter("value = ']}'").select("image")
+    counts = items.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
+    return items.join(counts, "image").join(heads, "image").join(ends, "image").select("image", "pred_id", "confidence", "x1", "n", "ground_m")
+
+
 @query("sink_labels", f"select sup_id, split, {LABEL_SQL} as label from annotations where status <> 'ambigu'")
 def sink_labels(t):
     path = scratch_path(t.spark, "labels")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geosieve.functions.text import to_number
+from geosieve.operators.spread import materialize
 from geosieve.sources.records import file_lines, probe, records
 
 BOM = "﻿"
@@ -176,14 +177,84 @@ def read_histories(
     })
 
 
+# Endings of files that the line reader would unpack.
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+
+
+def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, bytes, sha256) of files of any size, digested piece by piece as their bytes pass.
+
+    A file is read by one task in order, since a digest has an order; its bytes come as stretches between
+    line feeds, so a task holds one Arrow batch. Two things the reader leaves out are tried both ways, and the length
+    tells which holds: a last line feed, and a byte order mark.
+    """
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def send(now):
+            name, size, lines, plain, marked = now
+            rows = []
+            for mark, state in ((0, plain), (3, marked)):
+                ended = state.copy()
+                ended.update(b"\n")
+                rows += [(name, size + lines - 1 + mark, state.hexdigest()), (name, size + lines + mark, ended.hexdigest())]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "bytes", "sha256"])
+
+        now = None
+        for batch in batches:
+            paths, lines = batch.column("path").to_pylist(), batch.column("line").to_pylist()
+            at = 0
+            while at < len(paths):
+                stop = at
+                while stop < len(paths) and paths[stop] == paths[at]:
+                    stop += 1
+                if now is None or now[0] != paths[at]:
+                    if now is not None:
+                        yield send(now)
+                    now = [paths[at], 0, 0, hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")]
+                part = b"\n".join(lines[at:stop])
+                now[1] += len(part) - (stop - at - 1)
+                for state in now[3:]:
+                    if now[2]:
+                        state.update(b"\n")
+                    state.update(part)
+                now[2] += stop - at
+                at = stop
+        if now is not None:
+            yield send(now)
+
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line"))
+    # Whole files, one a task: the cost of opening one fills a partition.
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(1 << 60))
+        return materialize(lines.mapInArrow(digest, "path string, bytes long, sha256 string"), "digests")
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*", *, digest: bool = False) -> DataFrame:
-    """Files below a folder with their sizes and, if asked, SHA-256 digests."""
+    """Files below a folder with their sizes and, if asked, SHA-256 digests.
+
+    Sizes come from the listing, whatever they are. Packed files (``PACKED``) are digested as one value
+    each, which limits those to 2 GB; all others pass piece by piece. Spark's readers leave out empty files.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     files = files.option("recursiveFileLookup", True).load(path)
     shown = ["path", F.element_at(F.split("path", "/"), -1).alias("file"), "length"]
-    if digest:
-        shown.append(F.sha2("content", 256).alias("sha256"))
-    return files.select(*shown)
+    listed = files.select(*shown, F.col("_metadata.file_path").alias("_place"))
+    if not digest:
+        return listed.drop("_place")
+    found = file_digests(spark, path, glob).withColumnsRenamed({"path": "_place", "bytes": "length"}).distinct()
+    packed = files.filter(F.col("path").rlike(PACKED)).select(F.col("_metadata.file_path").alias("_place"), F.sha2("content", 256).alias("_whole"))
+    out = listed.join(found, ["_place", "length"], "left").join(packed, "_place", "left")
+    return out.select("path", "file", "length", F.coalesce("_whole", "sha256").alias("sha256"))
 
 
 def check_inventory(files: DataFrame, manifest: DataFrame) -> DataFrame:

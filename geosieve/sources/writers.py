@@ -71,6 +71,42 @@ def detection_documents(
     )).alias("document"))
 
 
+def detection_lines(
+    detections: DataFrame, columns: list[str], order: str,
+    image_size_m: float = 100.0, pixels: tuple[int, int] | None = (1024, 1024),
+) -> DataFrame:
+    """(image, line_no, line): the lines of one JSON document per image, its detections in confidence order.
+
+    A head, a line a detection and an end; no image is gathered, whatever its number of detections.
+    """
+    numbered = rank_rows(
+        detections, [F.col("confidence").desc(), F.col(order).asc()], within=["image"], name="line_no")
+    comma = F.when(F.col("line_no") > 1, ",").otherwise("")
+    items = numbered.select("image", "line_no", F.concat(comma, F.to_json(F.struct(*columns))).alias("line"))
+    size = F.array(*[F.lit(p) for p in pixels]) if pixels else F.lit(None).cast("array<int>")
+    head = F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"detections":['))
+    images = detections.select("image").distinct().withColumn(
+        "_head", F.to_json(F.struct(F.lit(float(image_size_m)).alias("image_size_meters"), size.alias("image_pixels"))))
+    ends = F.explode(F.array(
+        F.struct(F.lit(0).cast("long").alias("line_no"), head.alias("line")),
+        F.struct(F.lit(1 << 62).alias("line_no"), F.lit("]}").alias("line"))))
+    return items.unionByName(images.select("image", ends.alias("e")).select("image", "e.line_no", "e.line"))
+
+
+def write_detection_documents(
+    detections: DataFrame, columns: list[str], order: str, path: str,
+    image_size_m: float = 100.0, pixels: tuple[int, int] | None = (1024, 1024),
+) -> None:
+    """One JSON document per image in a folder of its own; its files in name order are the document.
+
+    Lines are range-partitioned by image and place, so a large image is written by several tasks. For very many
+    images prefer ``detection_documents``.
+    """
+    lines = detection_lines(detections, columns, order, image_size_m, pixels)
+    placed = lines.repartitionByRange("image", "line_no").sortWithinPartitions("image", "line_no")
+    placed.select("image", F.col("line").alias("value")).write.mode("overwrite").partitionBy("image").text(path)
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """Label lines as a table partitioned by split: SUP_ID, label_file, label text."""
     labels.write.mode("overwrite").partitionBy("split").parquet(path)

@@ -142,6 +142,36 @@ def test_inventory(spark, tmp_path):
     assert got == {"a.bin": (True, True, True), "b.bin": (True, False, False), "c.bin": (False, False, False)}
 
 
+def test_digests_of_files_of_any_content(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "any"
+    folder.mkdir()
+    rng = random.Random(4)
+    contents = {"feed": b"\n", "feeds": b"a\n\n", "text": b"x" * 50 + b"\n" + b"y", "mark": b"\xef\xbb\xbfabc\nd\n",
+                "binary": bytes(rng.randrange(256) for _ in range(200_000)), "spaced name": b"\r\n\r\n", "two.gz": gzip.compress(b"inside\n")}
+    for name, data in contents.items():
+        (folder / name).write_bytes(data)
+    got = {r.file: (r.length, r.sha256) for r in readers.list_files(spark, str(folder), digest=True).collect()}
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+
+
+def test_documents_are_written_without_gathering(spark, tmp_path):
+    rows = [("big", n, n / 1000) for n in range(997)] + [("small", 0, 0.5)]
+    df = spark.createDataFrame(rows, "image string, pred_id long, confidence double").repartition(3)
+    assert "collect_list" not in writers.detection_lines(df, ["pred_id"], "pred_id")._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_detection_documents(df, ["pred_id"], "pred_id", str(tmp_path / "d"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for image, n in (("big", 997), ("small", 1)):
+        files = sorted((tmp_path / "d" / f"image={image}").glob("part-*"))
+        doc = json.loads("".join(f.read_text() for f in files))
+        assert [d["pred_id"] for d in doc["detections"]] == list(range(n))[::-1] and doc["image_pixels"] == [1024, 1024]
+    assert len(list((tmp_path / "d" / "image=big").glob("part-*"))) > 1
+
+
 def test_geojson_lines(spark, tmp_path):
     df = spark.createDataFrame([("C001", 48.5, 2.25, 0.75)], "candidate_id string, latitude double, longitude double, confidence double")
     writers.write_geojson_lines(df, str(tmp_path / "g"), ["candidate_id", "confidence"])
