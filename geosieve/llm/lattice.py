@@ -31,27 +31,28 @@ def by_length(words: list[bytes], longest: int) -> Iterator[tuple[np.ndarray, np
 class Lattice:
     """The trie, the pieces of its nodes and their scores as arrays."""
 
-    def __init__(self, base, check, value, gain, least: float):
+    def __init__(self, base, check, value, gain, least: float, byte: dict[int, int]):
         self.base, self.check, self.value = (np.asarray(x, np.int32) for x in (base, check, value))
         self.gain, self.least = np.asarray(gain, np.float64), least
+        self.byte = np.array([byte[b] for b in range(256)], np.int32)
         self.weight = np.exp(np.maximum(self.gain, -700.0)) * (self.value >= 0)
         self.rest = float(np.exp(least))
 
     def edges(self, data: np.ndarray) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray | None]]]]:
         """For each position (end, rows, nodes) of the pieces from there; no nodes: a character without a piece."""
         n, size = data.shape
-        lead = (data & 0xC0) != 0x80
+        columns = np.ascontiguousarray(data.T)
         for start in range(size):
-            rows = np.flatnonzero(lead[:, start])
+            rows = np.flatnonzero((columns[start] & 0xC0) != 0x80)
             if not len(rows):
                 continue
-            first = data[rows, start]
+            first = columns[start][rows]
             width = 1 + (first >= 0xC0).astype(np.int8) + (first >= 0xE0) + (first >= 0xF0)
             live, state, wide = rows, np.zeros(len(rows), np.int32), width
             alone = np.zeros(n, bool)
             out: list[tuple[int, np.ndarray, np.ndarray | None]] = []
             for depth in range(1, size - start + 1):
-                ahead = self.base[state] + data[live, start + depth - 1]
+                ahead = self.base[state] + columns[start + depth - 1][live]
                 ok = np.flatnonzero(self.check[ahead] == state)
                 if not len(ok):
                     break
@@ -66,48 +67,52 @@ class Lattice:
             yield start, out
 
     def best(self, data: np.ndarray) -> list[bytes | None]:
-        """The ids of the best segmentation of each word, None where it has a character without a piece."""
+        """The ids of the best segmentation of each word, None where it has a character of several bytes without a piece."""
         n, size = data.shape
-        score = np.full((n, size + 1), -1e300)
-        score[:, 0] = 0.0
-        piece, origin = np.full((n, size + 1), -1, np.int32), np.zeros((n, size + 1), np.int32)
+        # One row a position, so that each is one array of all words.
+        score = np.full((size + 1, n), -1e300)
+        score[0] = 0.0
+        piece, origin = np.full((size + 1, n), -1, np.int32), np.zeros((size + 1, n), np.int32)
         for start, out in self.edges(data):
-            here = score[:, start]
+            here = score[start]
             for end, rows, nodes in out:
                 got = here[rows] + (self.least if nodes is None else self.gain[nodes])
-                up = np.flatnonzero(got > score[rows, end])
+                up = np.flatnonzero(got > score[end][rows])
                 at = rows[up]
-                score[at, end], origin[at, end] = got[up], start
-                piece[at, end] = -1 if nodes is None else self.value[nodes[up]]
+                score[end][at], origin[end][at] = got[up], start
+                if nodes is not None:
+                    piece[end][at] = self.value[nodes[up]]
+                else:
+                    piece[end][at] = self.byte[data[at, start]] if end == start + 1 else -1
         ids, at, number = np.empty((n, size), np.int32), np.full(n, size), np.zeros(n, np.int64)
         bare, rows = np.zeros(n, bool), np.arange(n)
         while len(rows):
             place = at[rows]
             number[rows] += 1
-            found = piece[rows, place]
+            found = piece[place, rows]
             bare[rows[found < 0]] = True
             ids[rows, size - number[rows]] = found
-            at[rows] = origin[rows, place]
+            at[rows] = origin[place, rows]
             rows = rows[at[rows] > 0]
         return [None if b else ids[i, size - k:].tobytes() for i, (k, b) in enumerate(zip(number.tolist(), bare.tolist()))]
 
     def expect(self, data: np.ndarray, times: np.ndarray, unit: int, total: np.ndarray) -> None:
         """Add to ``total`` how often each piece is expected in the words, each ``times`` over, in units."""
         n, size = data.shape
-        ahead, behind = np.zeros((n, size + 1)), np.zeros((n, size + 1))
-        ahead[:, 0] = behind[:, size] = 1.0
+        ahead, behind = np.zeros((size + 1, n)), np.zeros((size + 1, n))
+        ahead[0] = behind[size] = 1.0
         steps = []
         for start, out in self.edges(data):
-            here = ahead[:, start]
+            here = ahead[start]
             for end, rows, nodes in out:
                 weight = self.rest if nodes is None else self.weight[nodes]
-                ahead[rows, end] += here[rows] * weight
+                ahead[end][rows] += here[rows] * weight
                 steps.append((start, end, rows, nodes, weight))
-        whole = ahead[:, size]
+        whole = ahead[size]
         for start, end, rows, nodes, weight in reversed(steps):
-            way = weight * behind[rows, end]
-            behind[rows, start] += way
+            way = weight * behind[end][rows]
+            behind[start][rows] += way
             if nodes is not None:
-                share = ahead[rows, start] * way / whole[rows]
+                share = ahead[start][rows] * way / whole[rows]
                 some = np.flatnonzero(share > SHARE)
                 np.add.at(total, self.value[nodes[some]], np.rint(share[some] * unit).astype(np.int64) * times[rows[some]])

@@ -43,6 +43,7 @@ from geosieve.llm.tables import map_arrow, written
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 250_000
+TEXTS = 1 << 22  # bytes of texts that are encoded at once
 NONE = -1e300
 UNKNOWN_COST = 10.0  # as in the public library
 LAST = -1e8  # scores below this only say that a piece is merged last
@@ -118,11 +119,10 @@ class Pieces:
         self.bytes = [name.replace(MARK, " ").encode() if ok else b"" for name, ok in zip(names, normal)]
         for value, i in byte.items():
             self.bytes[i] = bytes([value])
-        self.known: dict[str, bytes] = {}
 
     def score(self, scores: list[float]) -> Pieces:
         """Take ``scores`` for those of the pieces."""
-        self.scores, self.known, self._lattice = scores, {}, None
+        self.scores, self.known, self.past, self._lattice = scores, {}, {}, None
         self.least = min((s for s, n in zip(scores, self.normal) if n and s > LAST), default=0.0) - UNKNOWN_COST
         self.gain = [scores[i] if i >= 0 else 2 * NONE for i in self.trie.value]
         return self
@@ -130,7 +130,7 @@ class Pieces:
     @property
     def lattice(self) -> Lattice:
         if self._lattice is None:
-            self._lattice = Lattice(self.trie.base, self.trie.check, self.trie.value, self.gain, self.least)
+            self._lattice = Lattice(self.trie.base, self.trie.check, self.trie.value, self.gain, self.least, self.byte)
         return self._lattice
 
     def ranked(self) -> bool:
@@ -259,12 +259,22 @@ class Pieces:
         if not self.by_word:
             return [self._marked(" " + t) if t else b"" for t in texts]
         rows = [self.words(t) if t else [] for t in texts]
-        new = {w for row in rows for w in row if w not in self.known}
+        new = set().union(*rows).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {w for row in rows for w in row}
+            # The words of these texts stay; of the others those that come again are taken over.
+            own = set().union(*rows)
+            self.past = self.known
+            self.known = {w: self.past[w] for w in own if w in self.past}
+        if self.past:
+            found = [w for w in new if w in self.past]
+            self.known.update((w, self.past[w]) for w in found)
+            new.difference_update(found)
         self._learn(new)
-        return [b"".join(map(self.known.__getitem__, row)) for row in rows]
+        out = [b"".join(map(self.known.__getitem__, row)) for row in rows]
+        for word in new:
+            if len(word) > 64:
+                del self.known[word]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text, as the bytes of 32-bit integers."""
@@ -276,7 +286,7 @@ class Pieces:
         return out[1:] if out.startswith(" ") else out
 
     def __getstate__(self):
-        return {**self.__dict__, "known": {}, "_lattice": None}
+        return {**self.__dict__, "known": {}, "past": {}, "_lattice": None}
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -417,7 +427,7 @@ def encode(
 
     def work(batches):
         own = shared.value
-        for piece in cut(batches, text_col):
+        for piece in cut(batches, text_col, TEXTS):
             tokens = _token_lists(own, piece.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*piece.columns, tokens], names=[*piece.schema.names, out_col])
 
@@ -449,7 +459,7 @@ def round_trip(
 
     def work(batches):
         own = shared.value
-        for piece in cut(batches, text_col):
+        for piece in cut(batches, text_col, TEXTS):
             texts = piece.column(text_col).to_pylist()
             tokens = _token_lists(own, texts)
             decoded = _texts(own, tokens)
