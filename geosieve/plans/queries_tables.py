@@ -287,7 +287,7 @@ def sink_detection_stream(t):
     path = scratch_path(t.spark, "documents")
     writers.write_detection_documents(t.predictions, ["pred_id", "confidence", "x1"], "pred_id", path)
     lines = t.spark.read.text(path)
-    item = F.from_json(F.ltrim(F.lit(","), F.col("value")), "pred_id bigint, confidence double, x1 double")
+    item = F.from_json(F.regexp_replace("value", "^,", ""), "pred_id bigint, confidence double, x1 double")
     items = lines.filter(F.col("value").rlike("^,?[{].*[}]$")).select("image", item.alias("d")).select("image", "d.*")
     # The head opens the document of each image, the end closes it.
     heads = lines.filter(F.col("value").endswith(":[")).select("image", F.get_json_object(
