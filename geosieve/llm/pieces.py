@@ -139,7 +139,12 @@ class Pieces:
 
     def words(self, text: str) -> list[str]:
         """The parts of a text that are segmented on their own."""
-        return re.findall(" *[^ ]+| +", " " + text) if self.by_word else [" " + text]
+        if not self.by_word:
+            return [" " + text]
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return re.findall(" *[^ ]+| +", " " + text)
+        # Single spaces between words: cut at them.
+        return [" " + word for word in text.split(" ")]
 
     def expected(self, word: str) -> dict[int, float]:
         """How often each piece is expected over all segmentations of ``word``."""
