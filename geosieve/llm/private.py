@@ -8,7 +8,8 @@ from the vote patterns; its posteriors train the final classifier, a logistic mo
 features, which adds the candidates it is sure of. Base spans always stay.
 
 Scale: one scan finds spans and votes with JVM expressions; only documents' spans are written, not
-their texts. EM and the classifier see one row per distinct pattern of votes and features: their number
+their texts. Positions, overlaps and masks come from running sums and extremes over blocks and
+from texts in chunks, so time is linear in a text and its matches. EM and the classifier see one row per distinct pattern of votes and features: their number
 is bounded by the labelers (3**6 x features), so the driver holds a bounded table. Patterns never
 backtrack into a group (possessive loops), so long runs of digits or letters neither overflow the stack nor
 take quadratic time.
@@ -41,6 +42,7 @@ NEEDS = {"email": "@", "phone": "+", "contact": "at"}
 NEAR_WORDS = "phone|tel|call|mobile|fax|card|visa|mastercard|account|ssn|contact|mail|telefon|telefono|teléfono|téléphone|karte|tarjeta|carte"
 OTHER_WORDS = "isbn|issn|doi|version|page|order|build|price|article|figure|table|chapter|year"
 CERTAIN = 0.95
+BLOCK = 256
 
 
 def _digits(t: Column) -> Column:
@@ -82,15 +84,39 @@ def _named(number: int):
     return lambda x: F.struct(x["s"].alias("s"), F.lit(number).alias("k"), x["e"].alias("e"))
 
 
-def _placed(matches: str, parts: str) -> Column:
-    """Start, end and text of each match: what lies between matches is what a split leaves."""
-    start, size = f"(acc.pos + length({parts}[i]))", f"length({matches}[i])"
-    return F.expr(f"""
-        case when size({matches}) > 0 then aggregate(sequence(0, size({matches}) - 1),
-          named_struct('pos', 0L, 'out', cast(array() as array<struct<s:bigint,e:bigint,t:string>>)),
-          (acc, i) -> named_struct('pos', {start} + {size}, 'out', concat(acc.out,
-            array(named_struct('s', {start}, 'e', {start} + {size}, 't', {matches}[i])))),
-          acc -> acc.out) else cast(array() as array<struct<s:bigint,e:bigint,t:string>>) end""")
+def _scanned(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Replace arrays of longs by their running 'sum', 'max' or 'min'.
+
+    Blocks of ``BLOCK`` values are folded one by one from their offsets, so no long array is copied per value.
+    """
+    ways = {"sum": ("{} + {}", "0L"), "max": ("greatest({}, {})", "0L"), "min": ("least({}, {})", "9223372036854775807L")}
+    none = "cast(array() as array<bigint>)"
+    df = df.withColumns({f"{c}_b": F.expr(f"""
+        case when size({c}) > 0 then transform(sequence(0, (size({c}) - 1) div {BLOCK}), i -> slice({c}, cast(i * {BLOCK} + 1 as int), {BLOCK}))
+        else cast(array() as array<array<bigint>>) end""") for c in columns})
+    offsets, running = {}, {}
+    for c, way in columns.items():
+        op, zero = ways[way]
+        offsets[f"{c}_o"] = F.expr(f"""
+            aggregate({c}_b, named_struct('at', {zero}, 'out', {none}), (a, v) -> named_struct(
+              'at', {op.format("a.at", f"aggregate(v, {zero}, (x, y) -> {op.format('x', 'y')})")}, 'out', concat(a.out, array(a.at))), a -> a.out)""")
+        value = op.format("a.at", "y")
+        running[c] = F.expr(f"""
+            flatten(zip_with({c}_b, {c}_o, (v, o) -> aggregate(v, named_struct('at', o, 'out', {none}),
+              (a, y) -> named_struct('at', {value}, 'out', concat(a.out, array({value}))), a -> a.out)))""")
+    return df.withColumns(offsets).withColumns(running).drop(*(f"{c}_{x}" for c in columns for x in "bo"))
+
+
+def _chunks(text: Column) -> Column:
+    """``text`` in pieces of ``BLOCK`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(chunks: str, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text in chunks, in time of its own length."""
+    first = F.floor(start / BLOCK)
+    some = F.array_join(F.slice(chunks, (first + 1).cast("int"), (F.floor((end - 1) / BLOCK) - first + 1).cast("int")), "")
+    return F.when(end > start, F.substr(some, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
 
 def _spans(docs: DataFrame, text_col: str) -> DataFrame:
@@ -101,8 +127,13 @@ def _spans(docs: DataFrame, text_col: str) -> DataFrame:
     out = out.withColumns({f"_m_{k}": F.when(tried[k], F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0)))
                            .otherwise(F.array().cast("array<string>")) for k in KINDS})
     out = out.withColumns({f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(text, PATTERNS[k], -1)) for k in KINDS})
-    out = out.withColumns({f"_s_{k}": F.filter(_placed(f"_m_{k}", f"_p_{k}"), _valid(k)) for k in KINDS})
-    return out.drop(*(f"_{a}_{k}" for a in "mp" for k in KINDS))
+    # What lies between matches is what a split leaves, so running lengths place them.
+    out = out.withColumns({f"_e_{k}": F.expr(
+        f"zip_with(slice(_p_{k}, 1, size(_m_{k})), _m_{k}, (p, t) -> cast(length(p) + length(t) as bigint))") for k in KINDS})
+    out = _scanned(out, {f"_e_{k}": "sum" for k in KINDS})
+    out = out.withColumns({f"_s_{k}": F.filter(F.expr(
+        f"zip_with(_m_{k}, _e_{k}, (t, e) -> named_struct('s', e - length(t), 'e', e, 't', t))"), _valid(k)) for k in KINDS})
+    return out.drop(*(f"_{a}_{k}" for a in "mpe" for k in KINDS))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -113,13 +144,25 @@ def _judged(spans: DataFrame) -> DataFrame:
     """Adds ``base`` (s, e, kind number) and ``more`` (s, e, kind number, votes, features)."""
     base = F.array_sort(F.concat(*(F.transform(f"_s_{k}", _named(i)) for i, k in enumerate(KINDS[:4]))))
     out = spans.withColumn("base", base)
+    # Base spans and candidates in order of start: a candidate is held if a base span before it ends behind
+    # its start or the next one starts before its end.
+    out = out.withColumn("_all", F.array_sort(F.concat(
+        F.expr("transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 't', cast(null as string)))"),
+        *(F.expr(f"transform(_s_{k}, x -> named_struct('s', x.s, 'k', {KINDS.index(k)}, 'e', x.e, 't', x.t))") for k in KINDS[4:]))))
+    out = out.withColumns({
+        "_ends": F.expr("transform(_all, x -> if(x.k < 4, x.e, 0L))"),
+        "_starts": F.expr("reverse(transform(_all, x -> if(x.k < 4, x.s, 9223372036854775807L)))")})
+    out = _scanned(out, {"_ends": "max", "_starts": "min"}).withColumn("_starts", F.reverse("_starts"))
+    out = out.withColumn("_more", F.expr("filter(arrays_zip(_all, _ends, _starts), x -> x._all.k >= 4)"))
+    out = out.withColumn("_chunks", F.when(F.size("_more") > 0, _chunks(F.col("_text"))))
 
     def candidate(kind):
-        def make(x):
+        def make(z):
+            x = z["_all"]
             t, n = x["t"], F.length(_digits(x["t"]))
-            before = F.lower(F.substr(F.col("_text"), F.greatest(x["s"] - 29, F.lit(1)).cast("int"), F.least(x["s"], F.lit(30)).cast("int")))
+            before = F.lower(_cut("_chunks", F.greatest(x["s"] - 30, F.lit(0)), x["s"]))
             near, other = F.rlike(before, F.lit(rf"\b(?:{NEAR_WORDS})\b")), F.rlike(before, F.lit(rf"\b(?:{OTHER_WORDS})\b"))
-            held = F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            held = (z["_ends"] > x["s"]) | (z["_starts"] < x["e"])
             groups = F.size(F.split(F.regexp_replace(F.trim(t), "[^0-9]+", " "), " "))
             long_ = n.between(13, 19)
             checked = F.when(long_, _luhn(t)).otherwise(False)
@@ -137,7 +180,8 @@ def _judged(spans: DataFrame) -> DataFrame:
                             F.concat(*votes).alias("votes"), features.alias("features"))
         return make
 
-    return out.withColumn("more", F.concat(*(F.transform(f"_s_{k}", candidate(k)) for k in KINDS[4:])))
+    return out.withColumn("more", F.concat(*(F.transform(
+        F.expr(f"filter(_more, x -> x._all.k = {KINDS.index(k)})"), candidate(k)) for k in KINDS[4:])))
 
 
 def reliabilities(votes: list[str], n: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -206,19 +250,20 @@ def as_text(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def masked(text: Column, spans: str) -> Column:
-    """``text`` with each span replaced by its kind in brackets; overlapping spans make one."""
+def masked(df: DataFrame, column: str, spans: str) -> DataFrame:
+    """``df`` with each span of the text replaced by its kind in brackets; overlapping spans make one."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    out = df.withColumns({"_ends": F.transform(spans, lambda x: x["e"]),
+                          "_chunks": F.when(F.size(spans) > 0, _chunks(F.col(column)))})
+    out = _scanned(out, {"_ends": "max"}).withColumn(
+        "_until", F.when(F.size("_ends") > 0, F.concat(F.array(F.lit(0).cast("long")), F.slice("_ends", 1, F.size("_ends") - 1))))
 
-    def step(acc, x):
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
-        fresh = x["s"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], gap, F.get(names, x["k"]))).otherwise(acc["out"]).alias("out"))
+    def piece(x, at):
+        return F.when(x["s"] >= at, F.concat(_cut("_chunks", at, x["s"]), F.get(names, x["k"]))).otherwise("")
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    last = F.element_at("_ends", -1)
+    whole = F.concat(F.array_join(F.zip_with(spans, "_until", piece), ""), _cut("_chunks", last, F.length(column).cast("long")))
+    return out.withColumn(column, F.when(F.size(spans) > 0, whole).otherwise(F.col(column)))
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,4 +272,4 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     names = [f"c{i}" for i in range(len(docs.columns))]
     own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     found = find_private(docs.toDF(*names), own, text, tuple(names))
-    return found.withColumn(text, masked(F.col(text), "spans")).select(*names).toDF(*docs.columns)
+    return masked(found, text, "spans").select(*names).toDF(*docs.columns)
