@@ -7,6 +7,7 @@ import pytest
 from brute import components, haversine
 from pyspark.sql import functions as F
 
+from geosieve.operators import nearest
 from geosieve.operators.cells import Metric
 from geosieve.operators.nearest import nearest_site
 from geosieve.operators.proximity import (
@@ -175,3 +176,27 @@ def test_nearest_joins_with_a_hot_cell(spark, monkeypatch):
     catalogue = spark.createDataFrame(sites, "SUP_ID string, latitude double, longitude double")
     got = {r.id: r.nearest_SUP_ID for r in nearest_site(frame(spark, points), catalogue, ["id"]).collect()}
     assert got == {i: best_site(p, sites)[1] for i, p in enumerate(points)}
+
+
+@pytest.mark.parametrize("served", [0, 4])
+def test_nearest_site_of_crowded_points_with_lists_of_finer_cells(spark, monkeypatch, served):
+    # 4,000 points in half a square kilometre, 300 sites within, two of them at one position.
+    monkeypatch.setattr(nearest, "SERVED", served)
+    rng = random.Random(5)
+    spots = [(48.0 + rng.random() * 0.006, 2.0 + rng.random() * 0.01) for _ in range(300)]
+    spots[7] = spots[3]
+    points = [(48.0 + rng.random() * 0.006, 2.0 + rng.random() * 0.01) for _ in range(4000)]
+    sites = spark.createDataFrame([(f"s{i}", *p) for i, p in enumerate(spots)], "SUP_ID string, latitude double, longitude double")
+    got = {r.id: r for r in nearest_site(frame(spark, points), sites, ["id"]).collect()}
+    assert len(got) == len(points)
+    for i, p in enumerate(points):
+        best = min((haversine(p, s), f"s{k}") for k, s in enumerate(spots))
+        row = got[i]
+        assert row.nearest_SUP_ID == best[1] and abs(row.nearest_ANFR_distance_m - best[0]) < 1e-6
+
+
+def test_bound_of_a_list_is_worked_out_once(spark):
+    # Worked out for every item, this takes 10^10 steps.
+    df = spark.range(1).selectExpr("transform(sequence(1, 100000), x -> x + id) as near")
+    kept = nearest._kept("near", "x -> x", "array_min(transform(near, x -> x + 10))")
+    assert df.selectExpr(f"size({kept}) as n").first().n == 11
