@@ -126,6 +126,20 @@ def test_nearest_matches_brute_force(spark, limits):
     assert got[len(points) - 1].nearest_SUP_ID == "a-copy"
 
 
+@pytest.mark.parametrize("limits", [{}, {"list_max": 3, "finest": 19}])
+def test_far_points_alone(spark, limits):
+    """``beyond`` gives the rows that a filter on the distance would leave, whatever the lists."""
+    spots = scatter(5, 80, 48.8, 2.1, 900) + scatter(6, 30, 48.8, 2.1, 20_000)
+    sites = [(f"s{i}", la, lo) for i, (la, lo) in enumerate(spots)]
+    points = scatter(7, 150, 48.8, 2.1, 1_500) + scatter(8, 20, 49.5, 3.0, 50_000) + [(0.0, 180.0), (-48.8, -177.9), spots[3]]
+    catalogue = spark.createDataFrame(sites, "SUP_ID string, latitude double, longitude double")
+    near = {i: best_site(p, sites) for i, p in enumerate(points)}
+    for beyond in (150.0, 30_000.0):
+        far = nearest_site(frame(spark, points), catalogue, ["id"], beyond=beyond, **limits).collect()
+        got = {r.id: r.nearest_SUP_ID for r in far}
+        assert got == {i: site for i, (distance, site) in near.items() if distance >= beyond}
+
+
 def test_nearest_among_many_sites_in_one_cell(spark):
     """10^5 sites within one kilometre, points inside, near and far: no windows, and brute force agrees."""
     import numpy as np
